@@ -112,7 +112,11 @@ def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str
     """
     docs = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
     ids = docs.select(F.col(key).alias("__key"), F.col(lang).alias("__lang"))
-    ids = ids.withColumn("__n", F.row_number().over(Window.partitionBy("__lang").orderBy(F.xxhash64("__key"), "__key")))
+    # a hash threshold leaves about twice the sample of each language, so that no language's rows meet before
+    counts = ids.groupBy("__lang").count().select("__lang", (F.lit(2.0 * sample) / F.col("count")).alias("__share"))
+    place = F.pmod(F.xxhash64("__key"), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    ids = ids.withColumn("__place", place).join(counts, "__lang").where("__place < __share")
+    ids = ids.withColumn("__n", F.row_number().over(Window.partitionBy("__lang").orderBy("__place", "__key")))
     ids = ids.where(F.col("__n") <= sample).select("__key", "__lang").distinct()
     # at most ``sample`` ids for each language
     chosen = docs.join(F.broadcast(ids), (F.col(key) == F.col("__key")) & (F.col(lang) == F.col("__lang")))

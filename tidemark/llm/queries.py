@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from tidemark.llm import langid, sharding
+from tidemark.llm import fingerprint, html_text, langid, packing, pii, sharding, toxicity
 
 
 def queries() -> dict:
     return {
+        "op2_fingerprints": fingerprint.op2,
+        "op4_personal_data": pii.op4,
+        "op6_harmonic_packing": packing.op6,
         "op7_jump_sharding": sharding.op7,
+        "op8_html_text": html_text.op8,
+        "op9_toxicity": toxicity.op9,
         "op10_language_id": langid.op10,
     }
 
