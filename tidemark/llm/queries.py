@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from tidemark.llm import fingerprint, html_text, langid, packing, pii, sharding, toxicity
+from tidemark.llm import embed_dedup, fingerprint, html_text, langid, ngram_join, packing, pii, sharding, toxicity
 
 
 def queries() -> dict:
     return {
+        "op1_embedding_near_dedup": embed_dedup.op1,
         "op2_fingerprints": fingerprint.op2,
+        "op3_ngram_jaccard_join": ngram_join.op3,
         "op4_personal_data": pii.op4,
         "op6_harmonic_packing": packing.op6,
         "op7_jump_sharding": sharding.op7,

@@ -20,8 +20,8 @@ from tidemark.llm.langid import _letter_points
 
 #: Labelled texts that lexicon and weights are learned from, at most; those with the least hashed ids.
 SAMPLE = 12_000
-#: Terms of the lexicon, at most, and the least evidence for one: its log odds, and these over their deviation.
-TERMS, LEAST_ODDS, LEAST_SIGMA = 64, 2.0, 5.0
+#: Terms of the lexicon, at most, and the least evidence for one: its log odds, and its log-likelihood ratio.
+TERMS, LEAST_ODDS, LEAST_RATIO = 64, 2.0, 20.0
 #: Characters around a hit in which quotation marks and reporting words count.
 WINDOW = 80
 #: Characters that stand for letters, and words that report or cite another's speech.
@@ -195,8 +195,10 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | N
     bad, good = F.sum(F.col("toxic").cast("double")), F.sum(1 - F.col("toxic").cast("double"))
     seen = rows.select("toxic", word).where("length(word) between 3 and 24").groupBy("word").agg(bad.alias("a"), good.alias("b")).where("a >= 5")
     odds = F.ln((F.col("a") + 0.5) / (sums[True] - F.col("a") + 0.5)) - F.ln((F.col("b") + 0.5) / (sums[False] - F.col("b") + 0.5))
-    seen = seen.withColumn("odds", odds).withColumn("sigma", F.col("odds") / F.sqrt(1 / (F.col("a") + 0.5) + 1 / (F.col("b") + 0.5)))
-    top = seen.where(f"odds >= {LEAST_ODDS} and sigma >= {LEAST_SIGMA}").orderBy(F.desc("sigma"), "word").limit(TERMS).collect()
+    whole = float(sums[True] + sums[False])
+    ratio = 2 * sum(F.when(F.col(x) > 0, F.col(x) * F.ln(F.col(x) * whole / ((F.col("a") + F.col("b")) * float(n)))).otherwise(0.0) for x, n in (("a", sums[True]), ("b", sums[False])))
+    seen = seen.withColumn("odds", odds).withColumn("ratio", ratio)
+    top = seen.where(f"odds >= {LEAST_ODDS} and ratio >= {LEAST_RATIO}").orderBy(F.desc("ratio"), "word").limit(TERMS).collect()
     terms, weights = [r.word for r in top], [float(r.odds) for r in top]
     model = Model(terms, weights, np.zeros(1 + 2 * KINDS))
     found = _mapped(rows.select("doc_id", "toxic", "text"), ["toxic"], model, "x array<double>", True).collect()
