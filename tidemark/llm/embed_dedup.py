@@ -3,7 +3,8 @@
 Each table hashes a vector several times: three rounds of random signs and a fast Hadamard transform, then the nearest
 vertex of the cross-polytope (the largest coordinate and its sign). A vector sits in the bucket of its nearest vertices and
 also probes the buckets of its next best choices. What shares a bucket is a candidate pair; the cosine of each is then
-computed in double precision. A pair that meets in several tables counts in the first one only.
+computed in double precision. A pair that meets several times counts once: in the first table,
+and there in the lesser bucket.
 
 Buckets larger than ``BLOCK`` are split into blocks, and each pair of blocks is a unit of its own; a unit emits counts and
 a tree of its links, never the links.
@@ -23,7 +24,7 @@ from tidemark.llm.ngram_join import block_pairs, grouped, tree
 
 THRESHOLD = 0.98
 #: Tables, vertices that name a bucket, and buckets that a vector is looked up in (its own included).
-TABLES, VERTICES, PROBES = 10, 2, 4
+TABLES, VERTICES, PROBES = 8, 2, 4
 BLOCK = 512
 
 
@@ -133,12 +134,16 @@ def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not len(i):
             continue
         codes = np.array(group.column("codes").to_pylist(), np.int64).reshape(len(ids), TABLES, PROBES)
-        at = group.column("table")[0].as_py()
-        meet = np.zeros((len(i), at + 1), bool)
-        for t in range(at + 1):
+        at, code = group.column("table")[0].as_py(), group.column("code")[0].as_py()
+        earlier = np.zeros(len(i), bool)
+        for t in range(at):
             for p in range(PROBES):
-                meet[:, t] |= (codes[i, t, 0] == codes[j, t, p]) | (codes[j, t, 0] == codes[i, t, p])
-        first = meet[:, at] & ~meet[:, :at].any(1)
+                earlier |= (codes[i, t, 0] == codes[j, t, p]) | (codes[j, t, 0] == codes[i, t, p])
+        # within a table a pair may meet in the bucket of either; the lesser of the two counts
+        most = np.iinfo(np.int64).max
+        of_i = np.where((codes[i, at, :1] == codes[j, at]).any(1), codes[i, at, 0], most)
+        of_j = np.where((codes[j, at, :1] == codes[i, at]).any(1), codes[j, at, 0], most)
+        first = ~earlier & (np.minimum(of_i, of_j) == code)
         i, j = i[first], j[first]
         if not len(i):
             continue
@@ -168,9 +173,9 @@ def link(vectors: DataFrame) -> DataFrame:
     heads = written(heads.select("vec_id", "label", "copies", "unit", "codes"), "heads")
     # a row for each probe, then one for each bucket that a vector sits in or looks into
     probe = heads.select("vec_id", "label", F.posexplode("codes").alias("__at", "code"))
-    probe = probe.select("vec_id", F.floor(F.col("__at") / PROBES).cast("int").alias("table"), (F.col("__at") % PROBES == 0).alias("sits"), F.xxhash64("label", "code").alias("bucket"))
+    probe = probe.select("vec_id", F.floor(F.col("__at") / PROBES).cast("int").alias("table"), (F.col("__at") % PROBES == 0).alias("sits"), "code", F.xxhash64("label", "code").alias("bucket"))
     full = probe.groupBy("bucket", "table").agg(F.max("sits").alias("sits"), F.count("*").alias("n")).where("sits and n > 1").select("bucket", "table")
-    probe = probe.join(full, ["bucket", "table"]).select("bucket", "table", "vec_id")
+    probe = probe.join(full, ["bucket", "table"]).select("bucket", "table", "code", "vec_id")
     tasks = block_pairs(probe, ["bucket", "table"], "vec_id", BLOCK).join(heads, "vec_id")
     tasks = tasks.repartition("bucket", "table", "__bi", "__bj").sortWithinPartitions("bucket", "table", "__bi", "__bj")
     found = written(tasks.mapInArrow(_link, "vec_id long, top long, links long"), "links")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import embed_dedup, fingerprint, html_text, langid, ngram_join, packing, pii, sharding, toxicity
+from tidemark.llm import embed_dedup, fingerprint, html_text, langid, mixing, ngram_join, packing, pii, sharding, toxicity
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_fingerprints": fingerprint.op2,
         "op3_ngram_jaccard_join": ngram_join.op3,
         "op4_personal_data": pii.op4,
+        "op5_source_mixing": mixing.op5,
         "op6_harmonic_packing": packing.op6,
         "op7_jump_sharding": sharding.op7,
         "op8_html_text": html_text.op8,
