@@ -151,26 +151,28 @@ def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str
     return Profiles(Letters(alphabet), found)
 
 
-def identify(docs: DataFrame, profiles: Profiles | None, text: str = "text") -> DataFrame:
-    """``docs`` without ``text``, with lang_pred and score; a column of theirs with these names is replaced.
+def identify(docs: DataFrame, profiles: Profiles | None, text: str = "text", with_text: bool = False) -> DataFrame:
+    """``docs`` with lang_pred and score, and without ``text`` unless asked for; a column of theirs with these names is replaced.
 
     Whole texts count. Null, empty and letterless texts are ``und`` with score 0, as all are without profiles.
     """
     keep = [c for c in docs.columns if c not in (text, "lang_pred", "score")]
     if profiles is None:
-        return docs.select(*keep, F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
+        return docs.select(*keep, *[text] * with_text, F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
     alphabet = profiles.letters.alphabet
     ranked = {lang: [int(g) for g in _ranked(profiles, i)] for i, lang in enumerate(profiles.langs)}
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
+    passed = [*keep, *["__text"] * with_text]
+    rows = docs.select(*keep, F.col(text).alias("__text"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*passed).schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Profiles(Letters(alphabet), ranked)
         for batch in batches:
-            for part in slices(batch, "text"):
-                lang, score = own.judge(part.column("text"))
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*keep, "lang_pred", "score"])
+            for part in slices(batch, "__text"):
+                lang, score = own.judge(part.column("__text"))
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in passed), pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*passed, "lang_pred", "score"])
 
-    return docs.select(*keep, F.col(text).alias("text")).mapInArrow(run, f"{schema}, lang_pred string, score double")
+    return rows.mapInArrow(run, f"{schema}, lang_pred string, score double").withColumnRenamed("__text", text)
 
 
 def _ranked(profiles: Profiles, i: int) -> list[int]:
