@@ -78,7 +78,7 @@ def rank(text: Column, name: Column) -> Column:
     spaced = F.regexp_replace(name, " ", r"[^\\p{Alnum}]+")
     lead = r"(?iU)(?:(?<=^|[\r\n])\s*#?(\d{1,2})[.):\-–—]|(?:#|\bno\.?\s?|\bnumber\s+|\brank(?:ed)?\s+)(\d{1,2}))\s*[:.)\-–—]?\s*(?:[\p{Alnum}]+[^\p{Alnum}\r\n]+){0,2}(?<![\p{Alnum}])"
     pattern = F.concat(F.lit(lead), spaced, F.lit(r"(?![\p{Alnum}])"))
-    first, second = (F.regexp_extract(text, pattern, i) for i in (1, 2))
+    first, second = (F.call_function("regexp_extract", text, pattern, F.lit(i)) for i in (1, 2))
     return F.when(F.length(name) > 0, F.coalesce(first.try_cast("int"), second.try_cast("int")))
 
 
