@@ -23,11 +23,13 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 #: Shapes wider than the fixed patterns: what a trusted context may turn into an identifier of its kind.
 WIDE = {
-    "email": re.compile(r"[A-Za-z0-9._%+-]{2,}\s?[\[(]?\s?(?:@|\bat\b|\bAT\b)\s?[\])]?\s?[A-Za-z0-9-]{2,}(?:\s?[\[(]?\s?(?:\.|\bdot\b|\bDOT\b)\s?[\])]?\s?[A-Za-z]{2,})+"),
     "ip": re.compile(r"(?<![0-9.])[0-9]{1,3}(?:\s?\[?\.\]?\s?[0-9]{1,3}){3}(?![0-9.])"),
     "card": re.compile(r"(?<![0-9])[0-9]{4}(?:[ ./_-]{1,2}[0-9]{3,6}){2,4}(?![0-9])"),
     "phone": re.compile(r"(?<![0-9+.])(?:\([0-9]{2,4}\)|[0-9]{2,4})(?:[ ./-]{1,2}[0-9]{2,4}){2,4}(?![0-9.])"),
 }
+#: An address with its signs spelled out: what stands for "@", what may precede it, what may follow.
+_AT = re.compile(r"\s?[\[(]\s?(?:at|AT)\s?[\])]\s?|\s(?:at|AT)\s|@")
+_HOST = re.compile(r"[A-Za-z0-9-]{2,}(?:(?:\.|\s?[\[(]\s?(?:dot|DOT)\s?[\])]\s?|\s(?:dot|DOT)\s)[A-Za-z]{2,})+")
 #: A context word, as it stands next to an entity.
 _BEFORE = re.compile(r"([^\W\d_]+)[^\w\n]{0,3}\Z")
 _AFTER = re.compile(r"\A[^\w\n]{0,3}([^\W\d_]+)")
@@ -91,9 +93,13 @@ def plausible(kind: int, text: str) -> bool:
 def rest_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """Candidates of the wide shapes that no base span touches; of overlapping ones the first, then the longer."""
     found = []
-    for kind, name in enumerate(KINDS):
-        if kind == 0 and not ("@" in text or " at " in text or " AT " in text or "[at]" in text or "(at)" in text):
-            continue
+    for m in _AT.finditer(text):
+        begin = m.start()
+        while begin and text[begin - 1] in _LOCAL:
+            begin -= 1
+        if m.start() - begin > 1 and (host := _HOST.match(text, m.end())):
+            found.append((begin, 0, host.end()))
+    for kind, name in enumerate(KINDS[1:], 1):
         for m in WIDE[name].finditer(text):
             if plausible(kind, m[0]):
                 found.append((m.start(), kind, m.end()))
