@@ -28,22 +28,32 @@ DOMAINS = {"good": "quality = 1 and toxic = 0", "poor": "quality = 0 and toxic =
 TARGETS = {"good": 0.95, "poor": 0.04, "toxic": 0.01}
 
 
-def traits(text: Column, signs: list[str]) -> dict[str, Column]:
-    """Cheap traits of a whole text, each a small class number: size, signs, odd characters, upper case, long and repeated lines."""
-    size = F.char_length(text).cast("double")
-    share = lambda n: F.least(F.lit(7), F.floor(8 * F.least(F.lit(1.0), n / F.greatest(size, F.lit(1.0)))))
+def _count(text: Column, what: str) -> Column:
+    return F.octet_length(text) - F.octet_length(F.replace(text, F.lit(what), F.lit("")))
+
+
+def token_count(text: Column) -> Column:
+    """Words, by the spaces and line ends between them; one at least."""
+    return (_count(text, " ") + _count(text, "\n") + 1).cast("long")
+
+
+def traits(text: Column, tokens: Column, signs: list[str]) -> dict[str, Column]:
+    """Cheap traits of a whole text, each a small class number: size, odd characters, upper case, long words, repeated lines, signs.
+
+    A sign is a string that the lower-case text contains; searching for fixed strings costs far less than patterns here.
+    """
+    size, words = F.greatest(F.char_length(text), F.lit(1)).cast("double"), tokens.cast("double")
+    lines = F.split(text, "\n")
     low = F.lower(text)
-    odd = F.regexp_count(text, F.lit(r"[^\p{L}\p{Zs}\s.,]"))
-    words = F.regexp_count(text, F.lit(r"\s+")) + 1
     found = {
-        "size": F.least(F.lit(9), F.floor(F.log2(size + 1) * 0.6)),
-        "odd": F.least(F.lit(7), F.floor(40 * odd / F.greatest(size, F.lit(1.0)))),
-        "upper": share(2 * F.regexp_count(text, F.lit(r"\p{Lu}"))),
-        "word": F.least(F.lit(9), F.floor(size / F.greatest(words.cast("double"), F.lit(1.0)))),
-        "lines": F.least(F.lit(7), F.floor(20 * (F.regexp_count(text, F.lit("\n")) + 1 - F.size(F.array_distinct(F.split(text, "\n")))) / F.greatest(words.cast("double"), F.lit(1.0)))),
+        "size": F.least(F.lit(9), F.floor(F.log2(size) * 0.6)),
+        "odd": F.least(F.lit(7), F.floor(40 * F.regexp_count(text, F.lit(r"[!-+/-@\[-`{-~]")) / size)),
+        "upper": F.least(F.lit(7), F.floor(16 * F.regexp_count(text, F.lit("[A-ZÀ-Þ]")) / size)),
+        "word": F.least(F.lit(9), F.floor(size / words)),
+        "lines": F.least(F.lit(7), F.floor(20 * (F.size(lines) - F.size(F.array_distinct(lines))) / words)),
     }
     if signs:
-        found["signs"] = F.least(F.lit(3), F.regexp_count(low, F.lit(r"(?<![\p{L}])(?:" + "|".join(signs) + r")(?![\p{L}])")))
+        found["signs"] = F.least(F.lit(3), sum((F.contains(low, F.lit(s)).cast("int") for s in signs), F.lit(0)))
     return {k: v.cast("int") for k, v in found.items()}
 
 
@@ -53,17 +63,15 @@ class Classifier:
     def __init__(self, domains: list[str], signs: list[str], prior: list[float], tables: dict[str, dict[int, list[float]]], default: dict[str, list[float]]):
         self.domains, self.signs, self.prior, self.tables, self.default = domains, signs, prior, tables, default
 
-    def posterior(self, text: Column) -> list[Column]:
-        """A probability for each domain; they sum to one. Needs no other column than the text."""
-        found = traits(text, self.signs)
+    def log_odds(self) -> list[Column]:
+        """The logarithm of each domain's probability, up to a constant, from columns named like the traits."""
         logs = []
         for k in range(len(self.domains)):
             total: Column = F.lit(self.prior[k])
-            for name, column in found.items():
-                known = self.tables[name]
+            for name, known in self.tables.items():
                 at = F.lit(self.default[name][k])
                 for value, row in sorted(known.items()):
-                    at = F.when(column == value, row[k]).otherwise(at)
+                    at = F.when(F.col(f"__{name}") == value, row[k]).otherwise(at)
                 total = total + at
             logs.append(total)
         return logs
@@ -91,13 +99,13 @@ def learn(docs: DataFrame, labels: DataFrame, domains: dict[str, str] = DOMAINS,
     signs: list[str] = []
     if bad and good:
         word = F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))).alias("word")
-        seen = rows.select("toxic", word).where("length(word) between 3 and 24").groupBy("word").agg(F.sum(F.col("toxic").cast("double")).alias("a"), F.sum(1 - F.col("toxic").cast("double")).alias("b"))
+        seen = rows.select("toxic", word).where("length(word) between 5 and 24").groupBy("word").agg(F.sum(F.col("toxic").cast("double")).alias("a"), F.sum(1 - F.col("toxic").cast("double")).alias("b"))
         odds = F.ln((F.col("a") + 0.5) / (bad - F.col("a") + 0.5)) - F.ln((F.col("b") + 0.5) / (good - F.col("b") + 0.5))
         expected = (F.col("a") + F.col("b")) / float(bad + good)
         ratio = 2 * sum(F.when(F.col(x) > 0, F.col(x) * F.ln(F.col(x) / (expected * float(n)))).otherwise(0.0) for x, n in (("a", bad), ("b", good)))
         top = seen.where("a >= 5").withColumn("odds", odds).withColumn("ratio", ratio).where(f"odds >= {LEAST_ODDS} and ratio >= {LEAST_RATIO}")
         signs = sorted(r.word for r in top.orderBy(F.desc("ratio"), "word").limit(SIGNS).collect())
-    found = traits(F.col("text"), signs)
+    found = traits(F.col("text"), token_count(F.col("text")), signs)
     long = rows.select("domain", F.explode(F.map_from_arrays(F.array(*map(F.lit, found)), F.array(*found.values()))).alias("trait", "value"))
     tables: dict[str, dict[int, list[float]]] = {name: {} for name in found}
     for r in long.groupBy("trait", "value", "domain").count().collect():
@@ -109,13 +117,18 @@ def learn(docs: DataFrame, labels: DataFrame, domains: dict[str, str] = DOMAINS,
 
 
 def memberships(docs: DataFrame, model: Classifier, keep: list[str]) -> DataFrame:
-    """``keep`` columns, tokens (words, one at least) and p0, p1, ... of each document. A null text counts as empty."""
+    """``keep`` columns, tokens (words, one at least) and p0, p1, ... of each document. A null text counts as empty.
+
+    Traits are columns of their own before they are looked up, so that a text is read once for each.
+    """
     text = F.coalesce(F.col("text"), F.lit(""))
+    tokens = token_count(text).alias("tokens")
     if not model.tables:
-        even = [F.lit(1.0 / len(model.domains)).alias(f"p{k}") for k in range(len(model.domains))]
-        return docs.select(*keep, F.greatest(F.lit(1), F.regexp_count(text, F.lit(r"\S+"))).cast("long").alias("tokens"), *even)
-    logs = model.posterior(text)
-    rows = docs.select(*keep, F.greatest(F.lit(1), F.regexp_count(text, F.lit(r"\S+"))).cast("long").alias("tokens"), *(x.alias(f"l{k}") for k, x in enumerate(logs)))
+        return docs.select(*keep, tokens, *(F.lit(1.0 / len(model.domains)).alias(f"p{k}") for k in range(len(model.domains))))
+    rows = docs.select(*keep, text.alias("__text"), tokens)
+    rows = rows.select(*keep, "tokens", *(v.alias(f"__{k}") for k, v in traits(F.col("__text"), F.col("tokens"), model.signs).items()))
+    logs = model.log_odds()
+    rows = rows.select(*keep, "tokens", *(x.alias(f"l{k}") for k, x in enumerate(logs)))
     top = F.greatest(*(F.col(f"l{k}") for k in range(len(logs)))) if len(logs) > 1 else F.col("l0")
     rows = rows.select(*keep, "tokens", *(F.exp(F.col(f"l{k}") - top).alias(f"e{k}") for k in range(len(logs))))
     total = sum((F.col(f"e{k}") for k in range(len(logs))), F.lit(0.0))
