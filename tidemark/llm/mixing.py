@@ -25,7 +25,7 @@ STEPS, CLOSE = 40, 1e-6
 #: Domains: names, and each one's labels.
 DOMAINS = {"good": "quality = 1 and toxic = 0", "poor": "quality = 0 and toxic = 0", "toxic": "toxic = 1"}
 #: Shares of all expected tokens.
-TARGETS = {"good": 0.95, "poor": 0.04, "toxic": 0.01}
+TARGETS = {"good": 0.94, "poor": 0.04, "toxic": 0.02}
 
 
 def _count(text: Column, what: str) -> Column:
