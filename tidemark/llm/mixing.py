@@ -20,8 +20,8 @@ from tidemark.llm.common import table, written
 SAMPLE = 12_000
 #: Words that count as signs of a toxic text, at most, and the least evidence for one.
 SIGNS, LEAST_ODDS, LEAST_RATIO = 48, 2.0, 20.0
-#: Steps of the projected gradient, and the relative residual at which it ends.
-STEPS, CLOSE = 40, 1e-6
+#: Steps of the projected gradient, the times that one may be halved, and the relative residual at which it ends.
+STEPS, HALVINGS, CLOSE = 30, 6, 1e-6
 #: Domains: names, and each one's labels.
 DOMAINS = {"good": "quality = 1 and toxic = 0", "poor": "quality = 0 and toxic = 0", "toxic": "toxic = 1"}
 #: Shares of all expected tokens.
@@ -138,29 +138,45 @@ def memberships(docs: DataFrame, model: Classifier, keep: list[str]) -> DataFram
 def fit_rates(rows: DataFrame, targets: list[float], steps: int = STEPS) -> tuple[Column, list[float], list[float]]:
     """A column of rates over ``rows`` (tokens, p0, p1, ...), the domains' wanted tokens and those that the rates give.
 
-    ``targets`` are shares. The budget is the most that keeps the first domain at its present size, so its documents stay
-    near a rate of one. Minimises |A r - t|^2 in the metric that makes A A^T the identity, from r = 1, projecting on r >= 0.
+    ``targets`` are shares; the budget keeps the first domain at its present size, so that its documents stay near a rate of
+    one. Of all rates r >= 0 with A r = t, where A holds tokens x posteriors, those nearest to one in the least-squares sense
+    (weighted by tokens) are r = max(0, 1 + p . m): the projection of a step along each document's posterior. The steps go
+    down the gradient t - A r in m, scaled by A's product over the documents above zero and halved until the residual shrinks.
+    Targets that no rates can reach end where no step helps.
     """
     k = len(targets)
     w = [F.col("tokens") * F.col(f"p{i}") for i in range(k)]
-    sums = [F.sum(x) for x in w] + [F.sum(w[i] * F.col(f"p{j}")) for i in range(k) for j in range(k)]
-    first = [float(x or 0.0) for x in rows.agg(*(s.alias(f"s{i}") for i, s in enumerate(sums))).first()]
-    have, gram = np.array(first[:k]), np.array(first[k:]).reshape(k, k)
-    if not have.sum():
+
+    def rated(m: np.ndarray) -> Column:
+        return F.greatest(F.lit(0.0), sum((F.col(f"p{i}") * float(m[i]) for i in range(k)), F.lit(1.0)))
+
+    def totals(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """A r, and the product over the documents that are not held at zero."""
+        rate = rated(m)
+        free = F.when(rate > 0, 1.0).otherwise(0.0)
+        sums = [F.sum(rate * x) for x in w] + [F.sum(free * w[i] * F.col(f"p{j}")) for i in range(k) for j in range(k)]
+        row = [float(x or 0.0) for x in rows.agg(*(s.alias(f"s{i}") for i, s in enumerate(sums))).first()]
+        return np.array(row[:k]), np.array(row[k:]).reshape(k, k)
+
+    m = np.zeros(k)
+    got, gram = totals(m)
+    if not got.sum():
         return F.lit(1.0), [0.0] * k, [0.0] * k
     share = np.array(targets) / sum(targets)
-    budget = have[0] / share[0] if have[0] > 0 and share[0] > 0 else have.sum()
-    want = share * budget
-    metric = np.linalg.pinv(gram + np.eye(k) * 1e-9 * np.trace(gram))
-    rate: Column = F.lit(1.0)
-    got = have
+    want = share * (got[0] / share[0] if got[0] > 0 and share[0] > 0 else got.sum())
     for _ in range(steps):
-        move = metric @ (want - got)
         if np.abs(want - got).max() <= CLOSE * want.sum():
             break
-        rate = F.greatest(F.lit(0.0), rate + sum((F.col(f"p{i}") * float(move[i]) for i in range(k)), F.lit(0.0)))
-        got = np.array([float(x or 0.0) for x in rows.agg(*(F.sum(rate * x).alias(f"g{i}") for i, x in enumerate(w))).first()])
-    return rate, want.tolist(), got.tolist()
+        move = np.linalg.pinv(gram + np.eye(k) * 1e-9 * np.trace(gram)) @ (want - got)
+        for _ in range(HALVINGS):
+            now, there = totals(m + move)
+            if np.linalg.norm(want - now) < np.linalg.norm(want - got):
+                m, got, gram = m + move, now, there
+                break
+            move = move / 2
+        else:
+            break
+    return rated(m), want.tolist(), got.tolist()
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, domains: dict[str, str] = DOMAINS) -> DataFrame:
