@@ -6,7 +6,7 @@ retired). A key is an offer or a product. Windows are half-open: later than as_o
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import date, datetime
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -168,3 +168,22 @@ def daily_history(observations: DataFrame) -> DataFrame:
     day = F.to_date("observed_at").alias("day")
     cheapest = F.min(F.when(F.col("in_stock"), F.col("price_cents"))).alias("min_price_cents")
     return observations.groupBy("offer_id", day).agg(cheapest, F.bool_or("synthetic").alias("synthetic"), F.count("*").alias("observations"))
+
+
+def asof_grid(series: DataFrame, first: date, last: date) -> DataFrame:
+    """For each key and each day of the span: list price, least, median and greatest price and number of points of the year that
+    ends with that day's last microsecond.
+
+    A point of day d is visible on days d to d + 364 exactly, so the range join is an explode over days, clipped to the span,
+    and an aggregation by (key, day).
+    """
+    day = F.to_date("observed_at")
+    begin, end = F.greatest(day, F.lit(first)), F.least(F.date_add(day, 364), F.lit(last))
+    seen = series.where((day <= F.lit(last)) & (F.date_add(day, 364) >= F.lit(first))).withColumn("day", F.explode(F.sequence(begin, end)))
+    return seen.groupBy("key", "day").agg(
+        F.expr("mode() within group (order by price_cents desc)").alias("list_price_cents"),
+        F.min("price_cents").alias("min_365d"),
+        F.rint(F.expr("percentile_cont(0.5) within group (order by price_cents)")).cast("int").alias("median_365d"),
+        F.max("price_cents").alias("max_365d"),
+        F.count("*").alias("observations_365d"),
+    )

@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
 from tidemark.operators import prices, resolve, serve
+from tidemark.operators.backfill import backfill
+from tidemark.operators.backtest import by_reason
+from tidemark.operators.classifier import call, features, train
 from tidemark.plans import catalogue as base
 from tidemark.plans import model
 from tidemark.plans.catalogue import query
 from tidemark.plans.model import with_
+from tidemark.sources.specs import keyboard_spec
 
 #: A small catalog for the resolution queries: two brands of made-up names that the documents' words may hold.
 PRODUCTS = [
@@ -146,3 +152,55 @@ def html_links(s, d):
     from tidemark.sources.pages import links
 
     return links(model.read(s, d, "pages"))
+
+
+@query(
+    "J15_asof_grid",
+    with_("products", "observations", "linked")
+    + """, points as (select product_id as key, observed_at, min(price_cents) as price_cents from observations join linked using (offer_id) where in_stock group by 1, 2),
+    days as (select cast(unnest(range(date '2001-06-20', date '2001-07-01', interval 1 day)) as date) as day),
+    seen as (select p.key, d.day, p.price_cents from points p join days d on p.observed_at > d.day + interval 1 day - interval 1 microsecond - interval 365 day and p.observed_at <= d.day + interval 1 day - interval 1 microsecond),
+    listed as (select key, day, price_cents from (select key, day, price_cents, row_number() over (partition by key, day order by count(*) desc, price_cents desc) as rn from seen group by 1, 2, 3) where rn = 1)
+    select s.key, s.day, max(l.price_cents) as list_price_cents, min(s.price_cents) as min_365d, cast(round_even(quantile_cont(s.price_cents, 0.5), 0) as int) as median_365d, max(s.price_cents) as max_365d, count(*) as observations_365d from seen s join listed l on l.key = s.key and l.day = s.day group by 1, 2""",
+)
+def asof_grid(s, d):
+    return prices.asof_grid(prices.product_series(model.observations(s, d), model.offers(s, d)), date(2001, 6, 20), date(2001, 6, 30))
+
+
+@query(
+    "A20_by_reason",
+    with_("offers", "offer_series", "offer_current", **base._OFFER, signals=base._SIGNAL)
+    + "select code, count(*) filter (where signal = 'buy') as buys, count(*) filter (where signal = 'wait') as waits, count(*) filter (where signal = 'neutral') as neutrals, count(*) filter (where (signal = 'buy' and key % 3 > 0) or (signal = 'wait' and key % 3 = 0)) as hits from (select key, signal, unnest(string_split(reason_codes, ',')) as code from signals) group by 1",
+)
+def reasons(s, d):
+    """Offers' calls, with a made-up outcome that follows from their ids."""
+    rows = base.signals.decide(base.offer_rollups(s, d), windows=F.col("sale_count"))
+    return by_reason(rows.withColumn("call", F.col("signal")).withColumn("dropped", F.col("key") % 3 == 0))
+
+
+@query(
+    "A16_counts",
+    with_("offers") + "select status, count(*) as offers, count(distinct product_id) as products from offers group by 1",
+)
+def counts(s, d):
+    return model.offers(s, d).groupBy("status").agg(F.count("*").alias("offers"), F.count_distinct("product_id").alias("products"))
+
+
+@query("D23_D24_backfill")
+def backfilled(s, d):
+    """A synthetic month for every offer, from its first price."""
+    anchors = model.observations(s, d).groupBy("offer_id").agg(F.min_by("price_cents", "observed_at").alias("anchor_cents"))
+    return backfill(anchors, date(1994, 12, 1), 31, 20251129)
+
+
+@query("D10_D11_classifier")
+def classified(s, d):
+    """Offers' rollups as examples, with an outcome that follows from their ids; probability and call of each."""
+    rows = features(base.offer_rollups(s, d).withColumn("as_of", F.lit(model.AS_OF)), F.col("sale_count"), 1).withColumn("dropped", F.col("key") % 3 == 0)
+    scored = train(rows)(rows)
+    return scored.select("key", F.round("probability", 6).alias("probability"), call(F.col("probability"), 0.3, 0.4).alias("call"))
+
+
+@query("X20_keyboard_spec")
+def keyboard(s, d):
+    return model.read(s, d, "part").select("p_partkey", F.to_json(keyboard_spec(T.normalize_ascii(F.concat_ws(" ", "p_name", F.concat(F.col("p_size").cast("string"), F.lit(" key")))))).alias("spec"))
