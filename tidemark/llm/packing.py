@@ -7,7 +7,11 @@ first, then pieces that fill their class exactly, so that the rest is placed wit
 
 from __future__ import annotations
 
+import functools
+import os
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,32 +31,64 @@ SLACK = 16
 WORKER_PIECES = 200_000
 #: The id after each document's own.
 END = 1
-#: Words whose ids a Python worker remembers.
+#: Words of a generation whose ids a Python worker remembers.
 REMEMBERED = 200_000
 
 
+#: A word of Latin letters, perhaps with punctuation after it: it is normalised and split in a known way.
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)\Z")
+
+
 class WordTokenizer:
     """Ids of texts by a public tokenizer file whose words, as white space parts them, do not affect each other.
 
-    Words are tokenised once and remembered, up to a bound. A text with a marker of special tokens is encoded whole.
+    Words are tokenised once and remembered in two generations: what the last ones used stays. Plain words go to the
+    tokenizer's model at once, in the form that its normalizer and splitter would give them; all others go through the whole
+    tokenizer, and so does a text with a marker of special tokens.
     """
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a worker has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, np.ndarray] = {}
+        self.model = self.tokenizer.model
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        hidden = [b for b in range(256) if b not in shown]
+        # bytes as the byte-level splitter writes them
+        self.bytes = str.maketrans({chr(b): chr(256 + i) for i, b in enumerate(hidden)})
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def _piece(self, piece: str) -> bytes:
+        ids = self.known.get(piece) or self.older.get(piece)
+        if ids is None:
+            shown = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.bytes)
+            ids = array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
+        self.known[piece] = ids
+        return ids
+
+    def _learn(self, words: set[str]) -> None:
+        if len(self.known) > REMEMBERED:
+            self.older, self.known = self.known, {}
+        new = words - self.known.keys()
+        for w in new & self.older.keys():
+            self.known[w] = self.older[w]
+        odd = []
+        for w in new - self.older.keys():
+            if m := _PLAIN.match(w):
+                self.known[w] = self._piece(m[1].lower()) + (self._piece(m[2]) if m[2] else b"")
+            else:
+                odd.append(w)
+        for i in range(0, len(odd), 2_000):
+            for w, code in zip(odd[i : i + 2_000], self.tokenizer.encode_batch_fast(odd[i : i + 2_000], add_special_tokens=False)):
+                self.known[w] = array("I", code.ids).tobytes()
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         split = [t.split() if "<|" not in t else None for t in texts]
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        new = list({w for words in split if words for w in words} - self.known.keys())
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            for word, code in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                self.known[word] = np.array(code.ids, "<u4").tobytes()
-        out, known = [], self.known
+        self._learn({w for words in split if words for w in words})
+        known = self.known
+        out = []
         for text, words in zip(texts, split):
             if words is None:
                 ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
@@ -62,6 +98,12 @@ class WordTokenizer:
         return out
 
 
+@functools.lru_cache(maxsize=1)
+def word_tokenizer(path: str) -> WordTokenizer:
+    """One for each Python worker, whose words outlive a task."""
+    return WordTokenizer(path)
+
+
 def cuts(length: int, capacity: int = CAPACITY, classes: int = CLASSES, slack: int = SLACK) -> list[int]:
     """Lengths of a document's pieces: full ones, then ones that fill their class exactly until the rest nearly does."""
     pieces = [capacity] * (length // capacity)
@@ -85,7 +127,7 @@ def tokenized_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY,
     names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = WordTokenizer(tokenizer)
+        encode = word_tokenizer(tokenizer)
         end = np.array([END], "<u4")
         for batch in batches:
             for part in slices(batch):
