@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import table, written
 
 #: Positions of a fingerprint, and hex digits of each.
-SAMPLES = 32
+SAMPLES = 48
 DIGITS = 6
 #: Ranges of ids whose rows are ordered independently when each document's successor is looked up.
 RANGES = 256
