@@ -308,6 +308,16 @@ def test_mixing(spark):
     assert {r.rate for r in mixing.mix(df, labels.where("false")).collect()} and mixing.mix(df.where("false"), labels).count() == 0
 
 
+def test_mixing_counts_whole_words(spark):
+    texts = ["a b c", "a\n\n  b  c ", "a\tb\r\nc", "a\u00a0b\u2003c", "", "   "]
+    made = docs(spark, *texts)
+    assert [r.n for r in made.select("doc_id", mixing.token_count(made.text).alias("n")).orderBy("doc_id").collect()] == [3, 3, 3, 3, 1, 1]
+    made = docs(spark, "ass ASS pass class", "passed class", "ĐÉЖ", "«»…")
+    found = mixing.traits(made.text, mixing.token_count(made.text), ["ass"])
+    rows = made.select("doc_id", *(v.alias(k) for k, v in found.items())).orderBy("doc_id").collect()
+    assert [r.signs for r in rows[:2]] == [2, 0] and rows[2].upper == 7 and rows[3].odd == 7
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline as p
 

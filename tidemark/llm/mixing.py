@@ -8,6 +8,7 @@ document's rate is a function of its own row and of the residuals so far, which
 
 from __future__ import annotations
 
+import logging
 import math
 
 import numpy as np
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import table, written
 
+_LOG = logging.getLogger(__name__)
 #: Labelled documents that the classifier is learned from, at most; those with the least hashed ids.
 SAMPLE = 12_000
 #: Words that count as signs of a toxic text, at most, and the least evidence for one.
@@ -25,35 +27,31 @@ STEPS, HALVINGS, CLOSE = 30, 6, 1e-6
 #: Domains: names, and each one's labels.
 DOMAINS = {"good": "quality = 1 and toxic = 0", "poor": "quality = 0 and toxic = 0", "toxic": "toxic = 1"}
 #: Shares of all expected tokens.
-TARGETS = {"good": 0.94, "poor": 0.04, "toxic": 0.02}
-
-
-def _count(text: Column, what: str) -> Column:
-    return F.octet_length(text) - F.octet_length(F.replace(text, F.lit(what), F.lit("")))
+TARGETS = {"good": 0.95, "poor": 0.04, "toxic": 0.01}
 
 
 def token_count(text: Column) -> Column:
-    """Words, by the spaces and line ends between them; one at least."""
-    return (_count(text, " ") + _count(text, "\n") + 1).cast("long")
+    """Runs of what is no white space of any kind; one at least."""
+    return F.greatest(F.lit(1), F.regexp_count(text, F.lit(r"[^\s\p{Z}\x85]+"))).cast("long")
 
 
 def traits(text: Column, tokens: Column, signs: list[str]) -> dict[str, Column]:
     """Cheap traits of a whole text, each a small class number: size, odd characters, upper case, long words, repeated lines, signs.
 
-    A sign is a string that the lower-case text contains; searching for fixed strings costs far less than patterns here.
+    A sign is a whole word of the lower-case text, and counts as often as it stands there.
     """
     size, words = F.greatest(F.char_length(text), F.lit(1)).cast("double"), tokens.cast("double")
     lines = F.split(text, "\n")
     low = F.lower(text)
     found = {
         "size": F.least(F.lit(9), F.floor(F.log2(size) * 0.6)),
-        "odd": F.least(F.lit(7), F.floor(40 * F.regexp_count(text, F.lit(r"[!-+/-@\[-`{-~]")) / size)),
-        "upper": F.least(F.lit(7), F.floor(16 * F.regexp_count(text, F.lit("[A-ZÀ-Þ]")) / size)),
+        "odd": F.least(F.lit(7), F.floor(40 * F.regexp_count(text, F.lit(r"[^\p{L}\p{M}\p{Z}\s.,]")) / size)),
+        "upper": F.least(F.lit(7), F.floor(16 * F.regexp_count(text, F.lit(r"\p{Lu}")) / size)),
         "word": F.least(F.lit(9), F.floor(size / words)),
         "lines": F.least(F.lit(7), F.floor(20 * (F.size(lines) - F.size(F.array_distinct(lines))) / words)),
     }
     if signs:
-        found["signs"] = F.least(F.lit(3), sum((F.contains(low, F.lit(s)).cast("int") for s in signs), F.lit(0)))
+        found["signs"] = F.least(F.lit(3), F.regexp_count(low, F.lit(r"(?<!\p{L})(?:" + "|".join(signs) + r")(?!\p{L})")))
     return {k: v.cast("int") for k, v in found.items()}
 
 
@@ -99,7 +97,7 @@ def learn(docs: DataFrame, labels: DataFrame, domains: dict[str, str] = DOMAINS,
     signs: list[str] = []
     if bad and good:
         word = F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))).alias("word")
-        seen = rows.select("toxic", word).where("length(word) between 5 and 24").groupBy("word").agg(F.sum(F.col("toxic").cast("double")).alias("a"), F.sum(1 - F.col("toxic").cast("double")).alias("b"))
+        seen = rows.select("toxic", word).where("length(word) between 3 and 24").groupBy("word").agg(F.sum(F.col("toxic").cast("double")).alias("a"), F.sum(1 - F.col("toxic").cast("double")).alias("b"))
         odds = F.ln((F.col("a") + 0.5) / (bad - F.col("a") + 0.5)) - F.ln((F.col("b") + 0.5) / (good - F.col("b") + 0.5))
         expected = (F.col("a") + F.col("b")) / float(bad + good)
         ratio = 2 * sum(F.when(F.col(x) > 0, F.col(x) * F.ln(F.col(x) / (expected * float(n)))).otherwise(0.0) for x, n in (("a", bad), ("b", good)))
@@ -186,7 +184,10 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS,
     """
     model = learn(docs, labels, domains)
     rows = written(memberships(docs, model, ["doc_id"]), "memberships")
-    rate, _, _ = fit_rates(rows, [targets[d] for d in model.domains])
+    rate, want, got = fit_rates(rows, [targets[d] for d in model.domains])
+    far = max(abs(a - b) for a, b in zip(want, got)) > CLOSE * sum(want)
+    for d, a, b in zip(model.domains, want, got):
+        _LOG.log(logging.WARNING if far else logging.INFO, "domain %s: %.0f tokens wanted, %.0f reached", d, a, b)
     rated = rows.withColumn("rate", rate)
     return rated.select("doc_id", "tokens", *(F.col(f"p{k}").alias(f"p_{d}") for k, d in enumerate(model.domains)), "rate", copies(F.col("rate"), F.col("doc_id")).alias("copies"))
 
