@@ -53,14 +53,13 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     return _with_length(joined.withColumn("text", F.when(F.col("spans").isNull(), F.col("text")).otherwise(whole)))
 
 
-def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str, targets: dict[str, float] = mixing.TARGETS) -> DataFrame:
     """Each document appears as often as its rate says; the good domain keeps its size, the others are cut to their share.
 
-    A rate is rounded up or down by the id's hash, except that a document more likely good than not is never dropped.
+    A rate is rounded up or down by the id's hash, and the fit bounds that of a document more likely good than not by one from below.
     """
-    rated = mixing.mix(docs, table(spark, sf_dir, "labels"))
-    copies = F.when(F.col("p_good") >= 0.5, F.greatest(F.lit(1), F.floor("rate").cast("int"))).otherwise(F.col("copies"))
-    rated = rated.select("doc_id", copies.alias("__copies")).dropDuplicates(["doc_id"]).where("__copies > 0")
+    rated = mixing.mix(docs, table(spark, sf_dir, "labels"), targets, keep_first=True)
+    rated = rated.select("doc_id", F.col("copies").alias("__copies")).dropDuplicates(["doc_id"]).where("__copies > 0")
     many = docs.join(rated, "doc_id").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
     return many.select(*COLUMNS)
 

@@ -318,6 +318,27 @@ def test_mixing_counts_whole_words(spark):
     assert [r.signs for r in rows[:2]] == [2, 0] and rows[2].upper == 7 and rows[3].odd == 7
 
 
+def test_mixing_stage_meets_targets(spark, tmp_path, monkeypatch):
+    """Good documents need a rate of 1.25 here, the others 0.5."""
+    import corpus_pipeline as p
+
+    from pyspark.sql import functions as F
+
+    shares = {0: (0.8, 0.2, 0.0), 1: (0.4, 0.3, 0.3)}
+
+    def known(docs, model, keep):
+        return docs.select(*keep, F.lit(10).cast("long").alias("tokens"), *(F.when(F.col("doc_id") % 2 == 0, shares[0][k]).otherwise(shares[1][k]).alias(f"p{k}") for k in range(3)))
+
+    monkeypatch.setattr(mixing, "memberships", known)
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(9)], "doc_id long, quality int, toxic int")
+    made = docs(spark, *["a b"] * 2000)
+    kept = p.mix_sources(spark, made, saved(spark, tmp_path, labels=labels), {"good": 1200 / 1750, "poor": 400 / 1750, "toxic": 150 / 1750})
+    ids = [r.doc_id for r in kept.select("doc_id").collect()]
+    got = [sum(shares[i % 2][k] for i in ids) for k in range(3)]
+    assert {i for i in ids if i % 2 == 0} == set(range(0, 2000, 2))
+    assert got[0] == pytest.approx(1200, rel=0.04) and [g / sum(got) for g in got] == pytest.approx([1200 / 1750, 400 / 1750, 150 / 1750], abs=0.012)
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline as p
 

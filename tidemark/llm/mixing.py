@@ -133,25 +133,29 @@ def memberships(docs: DataFrame, model: Classifier, keep: list[str]) -> DataFram
     return rows.select(*keep, "tokens", *((F.col(f"e{k}") / total).alias(f"p{k}") for k in range(len(logs))))
 
 
-def fit_rates(rows: DataFrame, targets: list[float], steps: int = STEPS) -> tuple[Column, list[float], list[float]]:
+def fit_rates(rows: DataFrame, targets: list[float], steps: int = STEPS, floor: Column | None = None) -> tuple[Column, list[float], list[float]]:
     """A column of rates over ``rows`` (tokens, p0, p1, ...), the domains' wanted tokens and those that the rates give.
 
     ``targets`` are shares; the budget keeps the first domain at its present size, so that its documents stay near a rate of
     one. Of all rates r >= 0 with A r = t, where A holds tokens x posteriors, those nearest to one in the least-squares sense
     (weighted by tokens) are r = max(0, 1 + p . m): the projection of a step along each document's posterior. The steps go
     down the gradient t - A r in m, scaled by A's product over the documents above zero and halved until the residual shrinks.
-    Targets that no rates can reach end where no step helps.
+    Targets that no rates can reach end where no step helps. ``floor`` takes the place of 0 as the least rate of a document.
     """
     k = len(targets)
+    least = F.lit(0.0) if floor is None else floor
     w = [F.col("tokens") * F.col(f"p{i}") for i in range(k)]
 
+    def moved(m: np.ndarray) -> Column:
+        return sum((F.col(f"p{i}") * float(m[i]) for i in range(k)), F.lit(1.0))
+
     def rated(m: np.ndarray) -> Column:
-        return F.greatest(F.lit(0.0), sum((F.col(f"p{i}") * float(m[i]) for i in range(k)), F.lit(1.0)))
+        return F.greatest(least, moved(m))
 
     def totals(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """A r, and the product over the documents that are not held at zero."""
+        """A r, and the product over the documents that are not held at their least rate."""
         rate = rated(m)
-        free = F.when(rate > 0, 1.0).otherwise(0.0)
+        free = F.when(moved(m) >= least, 1.0).otherwise(0.0)
         sums = [F.sum(rate * x) for x in w] + [F.sum(free * w[i] * F.col(f"p{j}")) for i in range(k) for j in range(k)]
         row = [float(x or 0.0) for x in rows.agg(*(s.alias(f"s{i}") for i, s in enumerate(sums))).first()]
         return np.array(row[:k]), np.array(row[k:]).reshape(k, k)
@@ -177,14 +181,15 @@ def fit_rates(rows: DataFrame, targets: list[float], steps: int = STEPS) -> tupl
     return rated(m), want.tolist(), got.tolist()
 
 
-def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, domains: dict[str, str] = DOMAINS) -> DataFrame:
+def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, domains: dict[str, str] = DOMAINS, keep_first: bool = False) -> DataFrame:
     """Rates of all documents: doc_id, tokens, p_<domain>, rate, and copies (rate rounded up or down by the id's hash).
 
+    With ``keep_first``, documents more likely of the first domain than not have rates of one at least.
     Null and empty texts count one token. Rows repeated with the same id keep a row each.
     """
     model = learn(docs, labels, domains)
     rows = written(memberships(docs, model, ["doc_id"]), "memberships")
-    rate, want, got = fit_rates(rows, [targets[d] for d in model.domains])
+    rate, want, got = fit_rates(rows, [targets[d] for d in model.domains], floor=F.when(F.col("p0") >= 0.5, 1.0).otherwise(0.0) if keep_first else None)
     far = max(abs(a - b) for a, b in zip(want, got)) > CLOSE * sum(want)
     for d, a, b in zip(model.domains, want, got):
         _LOG.log(logging.WARNING if far else logging.INFO, "domain %s: %.0f tokens wanted, %.0f reached", d, a, b)
