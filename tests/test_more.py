@@ -53,3 +53,15 @@ def test_sinks(spark):
     assert {tuple(r) for r in sinks.merge(old, new, ["k"], kept=[], fallback=["sku"]).collect()} == {(1, "a", "x"), (2, "c", "y"), (3, "d", "z")}
     assert {tuple(r) for r in sinks.merge(old, new, ["k"], kept=["v"]).collect()} == {(1, "a", "x"), (2, "b", None), (3, "d", "z")}
     assert {tuple(r) for r in sinks.insert_if_absent(old, new, ["k"]).collect()} == {(1, "a", "x"), (2, "b", "y"), (3, "d", "z")}
+
+
+def test_backfill_query_makes_the_year_before_the_data(spark, monkeypatch):
+    from datetime import date, datetime
+
+    from tidemark.plans import more
+
+    rows = [(1, datetime(2001, 3, 5, 9), 5000, False), (1, datetime(2001, 4, 1), 100, False), (2, datetime(2001, 3, 7), 7000, False), (2, datetime(2001, 3, 6), 10, True)]
+    monkeypatch.setattr(more.model, "observations", lambda s, d: spark.createDataFrame(rows, "offer_id long, observed_at timestamp, price_cents int, synthetic boolean"))
+    made = more.backfilled(spark, "").collect()
+    assert {r.offer_id for r in made} == {1} and len({r.day for r in made}) == len(made) == 365
+    assert min(r.day for r in made) == date(2000, 3, 5) and max(r.day for r in made) == date(2001, 3, 4)

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from datetime import date
+from datetime import date, timedelta
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
 from tidemark.operators import prices, resolve, serve
-from tidemark.operators.backfill import backfill
+from tidemark.operators.backfill import backfill, missing
 from tidemark.operators.backtest import by_reason
 from tidemark.operators.classifier import call, features, train
 from tidemark.plans import catalogue as base
@@ -188,9 +188,10 @@ def counts(s, d):
 
 @query("D23_D24_backfill")
 def backfilled(s, d):
-    """A synthetic month for every offer, from its first price."""
-    anchors = model.observations(s, d).groupBy("offer_id").agg(F.min_by("price_cents", "observed_at").alias("anchor_cents"))
-    return backfill(anchors, date(1994, 12, 1), 31, 20251129)
+    """A synthetic year for every offer without synthetic rows, ending the day before the earliest observation."""
+    seen = model.observations(s, d)
+    earliest = seen.agg(F.to_date(F.min("observed_at"))).first()[0] or date(1992, 1, 1)  # no observation: no rows either
+    return backfill(missing(seen), earliest - timedelta(days=365), 365, 20251129)
 
 
 @query("D10_D11_classifier")
