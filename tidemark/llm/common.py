@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
+import unicodedata
 import uuid
 from collections.abc import Iterator
 
@@ -40,10 +42,23 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/tidemark/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
+    files, at = _folder(spark, path)
+    files.deleteOnExit(at)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def _folder(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes the files of ``written`` tables that no live plan reads any more."""
+    for df in tables:
+        files, at = _folder(df.sparkSession, df._written)
+        files.delete(at, True)
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -61,6 +76,12 @@ def slices(batch: pa.RecordBatch, text: str = "text", limit: int = SLICE_BYTES)
             yield batch.slice(a, b - a)
 
 
+@functools.cache
+def categories() -> np.ndarray:
+    """For each code point 1 if it is a letter, 2 if it is a mark, else 0."""
+    return np.array([{"L": 1, "M": 2}.get(unicodedata.category(chr(p))[0], 0) for p in range(0x110000)], np.int8)
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of all texts of a column end to end, and where each begins (one more entry: the end). Null: empty."""
     column = pc.fill_null(column.cast(pa.large_string()), "")
@@ -84,19 +105,21 @@ def code_points(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, component): the smallest node that links reach, for every node that has a link.
 
-    Alternating large-star and small-star rounds; each ends in a written table. A hub's edges meet only in joins, which
-    adaptive execution splits, and in minima, which are combined before the shuffle. No row with nulls or a = b counts.
+    Alternating large-star and small-star rounds; each ends in a written table. A hub's edges meet only in a join of written
+    tables, which adaptive execution splits, and in minima, which are combined before the shuffle; the small-star's groups are
+    by the larger end, which is no hub any more. No row with nulls or a = b counts.
     """
     e = edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
     e = written(e, "edges")
     last = None
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = written(small.unionByName(low.select("u", F.col("m").alias("v"))).where("u != v").distinct(), "edges")
+        old, e = e, written(small.unionByName(low.select("u", F.col("m").alias("v"))).where("u != v").distinct(), "edges")
+        forget(old, least)
         row = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(row) == last:
             return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(

@@ -1,14 +1,14 @@
 """Similarity join of documents by the Jaccard similarity of their word n-grams, with Bayesian candidate pruning.
 
-1. Equal texts form a class; one document stands for each.
+1. Texts with equal sets of n-grams form a class; one document stands for each.
 2. Each text's n-grams are minhashed. Bands of the signature deal texts into buckets.
 3. Inside a bucket, pairs compare their MinHash values a few at a time. After each step the posterior of the similarity
    (uniform prior, so a beta distribution) tells the chance that the pair reaches the threshold; below a tolerance it is
    dropped. What is left only has to tell which texts hang together: a bucket emits a tree, never its pairs.
 4. Texts that hang together meet once, with their n-grams; pairs are pruned in the same way, the rest is verified exactly.
 
-A bucket or a group larger than ``BLOCK`` is split into blocks and each pair of blocks is a task's unit of its own, so no
-task holds a whole large group.
+A bucket or a group larger than a block, in rows or in bytes of text, is split into blocks and each pair of blocks is a
+task's unit of its own, so no task holds a whole large group.
 """
 
 from __future__ import annotations
@@ -18,17 +18,18 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import components, slices, table, written
+from tidemark.llm.common import components, forget, slices, table, written
 
 WORDS, THRESHOLD = 5, (4, 5)
 #: Bands and rows of each; at the threshold a pair misses all bands with a chance of (1 - 0.8^4)^24, 3e-6.
 BANDS, ROWS = 24, 4
 #: MinHash values compared in a step, and the posterior chance below which a pair is dropped.
 STEP, TOLERANCE = 16, 1e-6
-BLOCK = 512
+#: Rows of a block at most, and bytes of its texts, about.
+BLOCK, BLOCK_BYTES = 512, 4 << 20
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 _SIZE = BANDS * ROWS
 _SPACE = np.zeros(256, bool)
@@ -182,18 +183,28 @@ def grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.T
         yield rest
 
 
-def block_pairs(rows: DataFrame, keys: list[str], member: str, block: int = BLOCK) -> DataFrame:
-    """``rows`` with __bi, __bj and __side: groups by ``keys`` of more than ``block`` rows are split, each row goes to every pair of its block.
+def block_pairs(rows: DataFrame, keys: list[str], member: str, block: int = BLOCK, size: Column | None = None, where: Column | None = None) -> DataFrame:
+    """``rows`` with __own, __bi and __bj: groups by ``keys`` of more than ``block`` rows, or of more than BLOCK_BYTES by ``size``,
+    are split, each row goes to every pair of its block.
 
-    Groups of one row are left out. Only counts are joined to rows, in a join that adaptive execution can split.
+    Groups of one row are left out, and those for which the aggregate ``where`` is false. Only counts are joined to rows, in
+    a join of written tables that adaptive execution can split.
     """
     names = rows.columns
-    sizes = rows.groupBy(*keys).count().where("count > 1").select(*keys, F.ceil(F.col("count") / block).cast("int").alias("__blocks"))
+    found = [F.count("*").alias("__n"), F.sum(F.lit(0) if size is None else size).alias("__bytes"), (F.lit(True) if where is None else where).alias("__ok")]
+    blocks = F.ceil(F.greatest(F.col("__n") / block, F.col("__bytes") / BLOCK_BYTES)).cast("int").alias("__blocks")
+    sizes = written(rows.groupBy(*keys).agg(*found).where("__n > 1 and __ok").select(*keys, blocks), "sizes")
     rows = rows.join(sizes, keys).withColumn("__own", F.pmod(F.xxhash64(member), F.col("__blocks")).cast("int"))
     rows = rows.withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("__blocks") - 1)))
     return rows.select(*names, "__own", F.least("__own", "__other").alias("__bi"), F.greatest("__own", "__other").alias("__bj"))
 
 
+def set_hash(grams: np.ndarray) -> bytes:
+    """128 bits that decide a set of n-grams, whatever their order and number of times."""
+    some = np.unique(grams)
+    return np.array([_mix(some + _SALTS[0]).sum(), _mix(some * _A[1] + _SALTS[1]).sum()], np.uint64).tobytes() + len(some).to_bytes(4, "little")
+
+
 def bands(sig: np.ndarray) -> np.ndarray:
     """The bucket of each band of each signature."""
     key = np.tile(np.arange(1, BANDS + 1, dtype=np.uint64), (len(sig), 1))
@@ -203,21 +214,27 @@ def bands(sig: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, the class of equal texts (MD5), 16 bits of each MinHash value as binary, and the bands' buckets; the last two
-    are null if the text has no word."""
+    """doc_id, mark (the text's MD5), same (the class of equal n-gram sets), sig (16 bits of each MinHash value as binary) and
+    the bands' buckets; the last three are null if the text has no word."""
+    names = ["doc_id", "mark", "same", "sig", "buckets"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
                 gram, starts = shingles(part.column("text").to_pylist())
                 sig, some = minhash(gram, starts), np.diff(starts) > 0
+                same = [set_hash(gram[a:b]) if b > a else None for a, b in zip(starts, starts[1:])]
                 short = [s.tobytes() if n else None for s, n in zip(sig.astype(np.uint16), some)]
                 keys = [k if n else None for k, n in zip(bands(sig), some)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("same"), pa.array(short, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "same", "sig", "buckets"])
+                made = [pa.array(same, pa.binary()), pa.array(short, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("mark"), *made], names)
+
+    rows = docs.select("doc_id", _mark().alias("mark"), "text")
+    return rows.mapInArrow(run, "doc_id long, mark binary, same binary, sig binary, buckets array<long>")
+
 
-    text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select("doc_id", F.unhex(F.md5(text.cast("binary"))).alias("same"), "text")
-    return rows.mapInArrow(run, "doc_id long, same binary, sig binary, buckets array<long>")
+def _mark() -> Column:
+    return F.unhex(F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
 
 
 def _short(column: pa.ChunkedArray) -> np.ndarray:
@@ -305,37 +322,42 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(top[some]), pa.array(links[some].astype(np.int64)), pa.array(texts[some].astype(np.int64))], ["doc_id", "top", "links", "texts"])
 
 
-def join(docs: DataFrame) -> DataFrame:
-    """Every document's links. doc_id, class_id (least id with an equal text), n_copies (of the text), n_links (documents
-    with a similarity of 0.8 or more, copies included), n_linked_texts (different ones of them), component_id, kept.
+def join(docs: DataFrame, with_mark: bool = False) -> DataFrame:
+    """Every document's links. doc_id, class_id (least id with the same set of n-grams), n_copies (of that set), n_links (documents
+    with a similarity of 0.8 or more, copies included), n_linked_texts (different sets of them), component_id, kept; with
+    ``with_mark`` also mark, the MD5 of the text that counts for the id.
 
     Texts without a word (null, empty, white space) link with nothing, not even with copies: class_id is their own id. Rows
-    repeated with the same id count once, of different texts the one with the least MD5. Rows without an id are left out.
+    repeated with the same id count once, of different texts the one with the least n-gram hash, then the least MD5; a text
+    without a word counts only if the id has no other. Rows without an id are left out.
     """
     docs = docs.where("doc_id is not null").select("doc_id", "text")
-    sigs = written(signatures(docs), "signatures")
-    rows = sigs.where("sig is not null").groupBy("doc_id").agg(F.min("same").alias("same"))
-    classes = written(rows.groupBy("same").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("copies")), "classes")
-    heads = classes.select(F.col("class_id").alias("doc_id"), F.col("same").alias("is"), "copies")
-    heads = sigs.where("sig is not null").join(heads, "doc_id").where("same = is").dropDuplicates(["doc_id"])
-    heads = written(heads.select("doc_id", "same", "copies", "sig", "buckets"), "heads")
-    members = heads.select("doc_id", F.explode(F.array_distinct("buckets")).alias("bucket"))
+    sigs = written(signatures(docs).withColumn("rid", F.monotonically_increasing_id()), "signatures")
+    worded = sigs.where("sig is not null")
+    rows = written(worded.groupBy("doc_id").agg(F.min(F.struct("same", "mark", "rid")).alias("r")).select("doc_id", "r.*"), "rows")
+    head = F.min(F.struct("doc_id", "mark", "rid")).alias("h")
+    classes = written(rows.groupBy("same").agg(head, F.count("*").alias("copies")).select("same", F.col("h.doc_id").alias("class_id"), F.col("h.mark").alias("is"), "h.rid", "copies"), "classes")
+    members = worded.select("rid", "buckets").join(classes.select("rid", F.col("class_id").alias("doc_id")), "rid")
+    members = written(members.select("doc_id", F.explode(F.array_distinct("buckets")).alias("bucket")), "buckets")
+    heads = worded.select("rid", "sig").join(classes.select("rid", F.col("class_id").alias("doc_id"), "copies", "is"), "rid")
+    heads = written(heads.drop("rid"), "heads")
     tasks = block_pairs(members, ["bucket"], "doc_id").join(heads.select("doc_id", "sig"), "doc_id")
     tasks = tasks.repartition("bucket", "__bi", "__bj").sortWithinPartitions("bucket", "__bi", "__bj")
     near = components(tasks.mapInArrow(_hang, "a long, b long"), "a", "b").withColumnRenamed("node", "doc_id")
-    near = near.join(heads.select("doc_id", F.col("same").alias("is"), "copies", "sig"), "doc_id")
-    near = docs.join(near, "doc_id").where(F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary"))) == F.col("is"))
+    near = near.join(heads, "doc_id")
+    near = docs.join(near, "doc_id").where(_mark() == F.col("is"))
     near = near.dropDuplicates(["doc_id"]).select("doc_id", "component", "copies", "sig", "text")
     near = written(near, "near")
-    full = block_pairs(near, ["component"], "doc_id")
+    full = block_pairs(near, ["component"], "doc_id", size=F.octet_length("text"))
     full = full.repartition("component", "__bi", "__bj").sortWithinPartitions("component", "__bi", "__bj")
     found = written(full.mapInArrow(_verify, "doc_id long, top long, links long, texts long"), "links")
-    sums = found.groupBy("doc_id").agg(F.sum("links").alias("links"), F.sum("texts").alias("texts"))
-    whole = components(found.select("doc_id", "top"), "doc_id", "top").withColumnRenamed("node", "doc_id")
-    info = classes.join(sums, F.col("class_id") == F.col("doc_id"), "left").drop("doc_id").join(whole, F.col("class_id") == F.col("doc_id"), "left").drop("doc_id")
-    every = rows.join(info, "same").select("doc_id", "class_id", "copies", "links", "texts", "component")
-    blank = sigs.where("sig is null").select("doc_id").distinct()
-    blank = blank.select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("copies"), *(F.lit(None).cast("long").alias(c) for c in ("links", "texts", "component")))
+    forget(members, near, heads)
+    sums = found.groupBy("doc_id").agg(F.sum("links").alias("links"), F.sum("texts").alias("texts")).withColumnRenamed("doc_id", "class_id")
+    whole = components(found.select("doc_id", "top"), "doc_id", "top").withColumnRenamed("node", "class_id")
+    info = classes.select("same", "class_id", "copies").join(sums, "class_id", "left").join(whole, "class_id", "left")
+    every = rows.join(info, "same").select("doc_id", "mark", "class_id", "copies", "links", "texts", "component")
+    blank = sigs.where("sig is null").groupBy("doc_id").agg(F.min("mark").alias("mark")).join(rows.select("doc_id"), "doc_id", "left_anti")
+    blank = blank.select("doc_id", "mark", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("copies"), *(F.lit(None).cast("long").alias(c) for c in ("links", "texts", "component")))
     own = F.coalesce("component", "class_id")
     return every.unionByName(blank).select(
         "doc_id",
@@ -345,6 +367,7 @@ def join(docs: DataFrame) -> DataFrame:
         F.coalesce("texts", F.lit(0)).alias("n_linked_texts"),
         own.alias("component_id"),
         (own == F.col("doc_id")).alias("kept"),
+        *["mark"] * with_mark,
     )
 
 
