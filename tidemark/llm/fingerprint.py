@@ -19,8 +19,6 @@ from tidemark.llm.common import table, written
 #: Positions of a fingerprint, and hex digits of each.
 SAMPLES = 48
 DIGITS = 6
-#: Ranges of ids whose rows are ordered independently when each document's successor is looked up.
-RANGES = 256
 
 
 def words(text: Column) -> Column:
@@ -33,21 +31,15 @@ def _uniform(bits: Column, shift: int, width: int) -> Column:
     return (part.cast("double") + 0.5) * F.lit(2.0**-width)
 
 
-def _exponential(u: Column) -> Column:
-    """-ln u to within 0.1 % for u above 1e-3, and 1 % above 1e-9, from square roots, which cost half as much here."""
-    for _ in range(6):
-        u = F.sqrt(u)
-    return (1 - u) * 128 / (1 + u)
-
-
 def sample_keys(term: Column, logs: list[Column], k: int) -> list[Column]:
     """Position ``k``'s key of a hashed term under each of several weights, given as logarithms; null for none.
 
-    No key stands in a branch, so that the draws are made once for all weights.
+    No key stands in a branch, so that the draws are made once for all weights. A gamma draw is the negative logarithm of the
+    product of two uniforms.
     """
     one, two = F.xxhash64(term, F.lit(2 * k)), F.xxhash64(term, F.lit(2 * k + 1))
-    r = _exponential(_uniform(one, 0, 32) * _uniform(one, 32, 32))
-    c = _exponential(_uniform(two, 0, 21) * _uniform(two, 21, 21))
+    r = -F.ln(_uniform(one, 0, 32) * _uniform(one, 32, 32))
+    c = -F.ln(_uniform(two, 0, 21) * _uniform(two, 21, 21))
     beta = _uniform(two, 42, 22)
     return [c * F.exp(r * (beta - 1 - F.floor(log / r + beta))) for log in logs]
 
@@ -85,48 +77,54 @@ def fingerprint_texts(texts: DataFrame, keys: list[str], columns: list[str], sam
     return best.select(*keys, *(fingerprint([F.col(f"__s{i}_{k}") for k in range(samples)]).alias(f"fp_{c}") for i, c in enumerate(columns)))
 
 
-def successors(ids: DataFrame, order: list[str], ranges: int = RANGES) -> DataFrame:
+def successors(ids: DataFrame, order: list[str]) -> DataFrame:
     """``ids`` with next_<column> of the row that follows in descending ``order``; the first follows the last.
 
-    Rows are ordered within ranges of the first column; only the ranges' bounds and heads, a fixed number of rows, are
-    looked at together. ``order`` must be unique and not null.
+    Rows are sorted as a whole by ranges, as many as the session's shuffles have partitions; inside a range each row sees the
+    next, and only the ranges' heads, a row for each, are looked at together. ``order`` must be unique and not null.
     """
-    first = order[0]
-    share = ", ".join(str(i / ranges) for i in range(1, ranges))
-    bounds = ids.select(F.expr(f"percentile_approx({first}, array({share}), 10000)")).first()[0] or []
-    bounds = sorted(set(bounds))
-    cell = reduce(lambda x, y: x + y, [(F.col(first) > b).cast("int") for b in bounds], F.lit(0)) if len(bounds) < 8 else F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < F.col(first)))
-    rows = ids.withColumn("__cell", cell)
-    whole = F.struct(*order)
-    inside = Window.partitionBy("__cell").orderBy(*(F.desc(c) for c in order))
-    ahead = rows.withColumn("__next", F.lead(whole).over(inside))
+    whole, down = F.struct(*order), [F.desc(c) for c in order]
+    rows = written(ids.repartitionByRange(*down).withColumn("__cell", F.spark_partition_id()), "ranges")
+    ahead = rows.withColumn("__next", F.lead(whole).over(Window.partitionBy("__cell").orderBy(*down)))
     heads = rows.groupBy("__cell").agg(F.max(whole).alias("__head"))
-    down = Window.partitionBy(F.lit(0)).orderBy(F.desc("__cell"))  # at most ``ranges`` rows
-    every = down.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    heads = heads.select("__cell", F.coalesce(F.lead("__head").over(down), F.max("__head").over(every)).alias("__after"))
-    found = ahead.join(F.broadcast(heads), "__cell").withColumn("__next", F.coalesce("__next", "__after"))
+    every = Window.partitionBy(F.lit(0)).orderBy(F.desc("__head"))  # a row for each range
+    around = every.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    heads = heads.select("__cell", F.coalesce(F.lead("__head").over(every), F.max("__head").over(around)).alias("__after"))
+    found = ahead.join(heads, "__cell").withColumn("__next", F.coalesce("__next", "__after"))
     return found.select(*ids.columns, *(F.col("__next")[c].alias(f"next_{c}") for c in order))
 
 
 def op2(spark, sf_dir: str) -> DataFrame:
-    """Fingerprints of all documents and of their edited texts.
+    """Fingerprints of all documents and of their edited texts, a row for each row of documents.
 
-    Null text: empty. Rows repeated with the same id and text count once; of different texts with one id, the one with
-    the greater hash comes first. Rows without an id have no place in the order and are left out.
+    Null text: empty. Rows with the same id follow each other by the hash of their text, the greater first; repeated rows
+    follow each other, so the next document of all of them but the last is one of their own. Rows without an id come last.
     """
-    docs = table(spark, sf_dir, "documents").where("doc_id is not null")
-    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
-    ids = written(docs.groupBy("doc_id", "h").agg(F.max(F.char_length("text")).cast("long").alias("n_chars"), F.count("*").alias("copies")), "ids")
-    if ids.where("copies > 1").limit(1).count():
-        docs = docs.dropDuplicates(["doc_id", "h"])
-    links = written(successors(ids.drop("copies"), ["doc_id", "h"]), "links")
-    wanted = links.select(F.col("next_doc_id").alias("doc_id"), F.col("next_h").alias("h"), F.col("doc_id").alias("to_id"), F.col("h").alias("to_h"), F.floor(F.col("n_chars") / 2).cast("int").alias("take"))
-    lent = docs.join(wanted, ["doc_id", "h"]).select(F.col("to_id").alias("doc_id"), F.col("to_h").alias("h"), F.expr("substring(text, 1, take)").alias("lent"), "take")
-    both = docs.join(lent, ["doc_id", "h"]).select("doc_id", "h", "text", F.expr("concat(substring(text, 1, char_length(text) - take), lent)").alias("edited"))
-    marks = both.select("doc_id", "h", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"))
-    prints = written(fingerprint_texts(both, ["doc_id", "h"], ["text", "edited"]).join(marks, ["doc_id", "h"]), "prints")
-    following = prints.select(F.col("doc_id").alias("next_doc_id"), F.col("h").alias("next_h"), F.col("fp_text").alias("fp_next"))
-    rows = links.join(prints, ["doc_id", "h"]).join(following, ["next_doc_id", "next_h"])
+    docs = table(spark, sf_dir, "documents")
+    docs = docs.select("doc_id", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
+    docs = docs.withColumn("h", F.xxhash64(F.col("doc_id").isNull(), "text"))
+    keys = ["doc", "h"]
+    ids = docs.groupBy(*keys).agg(F.max("doc_id").alias("doc_id"), F.max(F.char_length("text")).cast("long").alias("n_chars"), F.count("*").alias("copies"))
+    links = written(successors(ids, keys), "links")
+    docs = docs.drop("doc_id")
+    take = F.floor(F.col("n_chars") / 2).cast("int").alias("take")
+    wanted = links.select(F.col("next_doc").alias("doc"), F.col("next_h").alias("h"), F.col("doc").alias("to_doc"), F.col("h").alias("to_h"), take)
+    head = F.expr("substring(text, 1, take)").alias("lent")
+    lent = docs.join(wanted, keys).select(F.col("to_doc").alias("doc"), F.col("to_h").alias("h"), F.lit(False).alias("own"), head, "take")
+    repeated = links.where("copies > 1").select(*keys, take)
+    if repeated.limit(1).count():
+        # a repeated row's text is edited twice: with its own beginning, and with that of what follows the last of them
+        docs = docs.dropDuplicates(keys)
+        again = docs.join(repeated, keys).select(*keys, F.lit(True).alias("own"), head, "take")
+        lent = lent.dropDuplicates(keys).unionByName(again)
+    both = docs.join(lent, keys).select(*keys, "own", "text", F.expr("concat(substring(text, 1, char_length(text) - take), lent)").alias("edited"))
+    keyed = [*keys, "own"]
+    marks = both.select(*keyed, F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"))
+    prints = written(fingerprint_texts(both, keyed, ["text", "edited"]).join(marks, keyed), "prints")
+    following = prints.where("not own").select(F.col("doc").alias("next_doc"), F.col("h").alias("next_h"), F.col("fp_text").alias("fp_next"))
+    rows = links.join(prints, keys).join(following, ["next_doc", "next_h"])
+    times = F.when(F.col("own"), F.col("copies") - 1).otherwise(1).cast("int")
+    rows = rows.withColumn("__row", F.explode(F.sequence(F.lit(1), times)))
     return rows.select(
         "doc_id",
         "n_chars",
@@ -134,5 +132,5 @@ def op2(spark, sf_dir: str) -> DataFrame:
         F.col("fp_text").alias("fingerprint"),
         F.col("fp_edited").alias("edited_fingerprint"),
         likeness(F.col("fp_text"), F.col("fp_edited")).alias("near_edited"),
-        likeness(F.col("fp_text"), F.col("fp_next")).alias("near_next"),
+        F.when(F.col("own"), 1.0).otherwise(likeness(F.col("fp_text"), F.col("fp_next"))).alias("near_next"),
     )
