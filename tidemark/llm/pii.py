@@ -1,12 +1,18 @@
 """Personal data: fixed patterns give seed entities; their surroundings induce lexical patterns, which are scored against
 the instances they catch, round by round, and the patterns that stay trustworthy find identifiers of other shapes.
+
+The graph has instances (a kind and the digits, or the letters of an address) and patterns (words before, after, or on
+both sides). A pattern is worth the share of its instances that are known, those that are merely unknown at a discount; an
+instance is worth one minus the product of its patterns' doubts. Spark scores both in turn until nothing new is found.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -17,24 +23,29 @@ from tidemark.llm.common import slices, table, written
 KINDS = ("email", "ip", "card", "phone")
 EMAIL_DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 EMAIL_LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
-IP = re.compile(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
+#: A match begins where its digits begin, so nothing is lost by looking only there, and long runs of digits are read once.
+IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]+")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 #: Shapes wider than the fixed patterns: what a trusted context may turn into an identifier of its kind.
 WIDE = {
     "ip": re.compile(r"(?<![0-9.])[0-9]{1,3}(?:\s?\[?\.\]?\s?[0-9]{1,3}){3}(?![0-9.])"),
-    "card": re.compile(r"(?<![0-9])[0-9]{4}(?:[ ./_-]{1,2}[0-9]{3,6}){2,4}(?![0-9])"),
-    "phone": re.compile(r"(?<![0-9+.])(?:\([0-9]{2,4}\)|[0-9]{2,4})(?:[ ./-]{1,2}[0-9]{2,4}){2,4}(?![0-9.])"),
+    "card": re.compile(r"(?<![0-9])(?:[0-9]{12,19}|[0-9]{4}(?:[ ./_-]{1,2}[0-9]{3,6}){2,4})(?![0-9])"),
+    "phone": re.compile(r"(?<![0-9+.])(?:[0-9]{7,11}|(?:\([0-9]{2,4}\)|[0-9]{2,4})(?:[ ./-]{1,2}[0-9]{2,4}){2,4})(?![0-9.])"),
 }
 #: An address with its signs spelled out: what stands for "@", what may precede it, what may follow.
 _AT = re.compile(r"\s?[\[(]\s?(?:at|AT)\s?[\])]\s?|\s(?:at|AT)\s|@")
 _HOST = re.compile(r"[A-Za-z0-9-]{2,}(?:(?:\.|\s?[\[(]\s?(?:dot|DOT)\s?[\])]\s?|\s(?:dot|DOT)\s)[A-Za-z]{2,})+")
-#: A context word, as it stands next to an entity.
-_BEFORE = re.compile(r"([^\W\d_]+)[^\w\n]{0,3}\Z")
-_AFTER = re.compile(r"\A[^\w\n]{0,3}([^\W\d_]+)")
-#: Rounds of scoring; distinct seeds that a pattern needs; the pattern and instance scores that are trusted.
-ROUNDS, SUPPORT, TRUST, ACCEPT = 3, 8, 0.8, 0.8
+#: A word, as it stands next to an entity, with the signs between.
+_WORD = r"[^\W\d_]+"
+_BEFORE = re.compile(rf"(?:({_WORD})[^\S\n]+)?({_WORD})([^\w\n]{{0,3}})\Z")
+_AFTER = re.compile(rf"([^\w\n]{{0,3}})({_WORD})(?:[^\S\n]+({_WORD}))?")
+#: Characters on either side that a pattern is read from.
+REACH = 64
+#: Rounds of scoring at most; distinct seeds that a pattern needs; the weight of an unknown instance against a pattern; the
+#: pattern and instance scores that are trusted.
+ROUNDS, SUPPORT, DISCOUNT, TRUST, ACCEPT = 4, 8, 0.5, 0.8, 0.8
 
 
 def luhn(digits: str) -> bool:
@@ -91,7 +102,7 @@ def plausible(kind: int, text: str) -> bool:
 
 
 def rest_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Candidates of the wide shapes that no base span touches; of overlapping ones the first, then the longer."""
+    """Candidates of the wide shapes that no base span touches. One stretch of digits may be a candidate of several kinds."""
     found = []
     for m in _AT.finditer(text):
         begin = m.start()
@@ -99,16 +110,12 @@ def rest_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, i
             begin -= 1
         if m.start() - begin > 1 and (host := _HOST.match(text, m.end())):
             found.append((begin, 0, host.end()))
-    for kind, name in enumerate(KINDS[1:], 1):
-        for m in WIDE[name].finditer(text):
-            if plausible(kind, m[0]):
-                found.append((m.start(), kind, m.end()))
-    out, last = [], -1
-    for s, k, e in sorted(found, key=lambda x: (x[0], -x[2], x[1])):
-        if s >= last and not any(s < be and bs < e for bs, _, be in base):
-            out.append((s, k, e))
-            last = e
-    return out
+    if any(c in text for c in "0123456789"):
+        for kind, name in enumerate(KINDS[1:], 1):
+            found += [(m.start(), kind, m.end()) for m in WIDE[name].finditer(text) if plausible(kind, m[0])]
+    starts, ends = [s for s, _, _ in base], list(accumulate((e for _, _, e in base), max))
+    free = lambda s, e: not (k := bisect_left(starts, e)) or ends[k - 1] <= s
+    return sorted({x for x in found if free(x[0], x[2])})
 
 
 def joined(spans: list[tuple[int, int, int]]) -> str:
@@ -116,79 +123,101 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
 
 
 def contexts(text: str, start: int, end: int) -> list[str]:
-    """The lexical patterns around a span: the word before, the word after."""
+    """The lexical patterns around a span: one and two words before, one and two after, and one on each side."""
     out = []
-    if m := _BEFORE.search(text[max(0, start - 40) : start]):
-        out.append("<" + m[1].lower())
-    if m := _AFTER.search(text[end : end + 40]):
-        out.append(">" + m[1].lower())
+    if left := _BEFORE.search(text[max(0, start - REACH) : start].lower()):
+        near = f"<{left[2]}{left[3].strip()}"
+        out += [near, *([f"<{left[1]} {near[1:]}"] if left[1] else [])]
+    if right := _AFTER.match(text[end : end + REACH].lower()):
+        near = f">{right[1].strip()}{right[2]}"
+        out += [near, *([f"{near} {right[3]}"] if right[3] else [])]
+        if left:
+            out.append(out[0] + near)
     return out
 
 
-def scan(docs: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id, base spans, their counts, and every seed and candidate with its patterns. One pass over whole texts."""
+def form(kind: int, text: str) -> str:
+    """What decides an instance of a kind: an address's letters in lower case, the digits of anything else."""
+    return text.lower() if kind == 0 else digits_of(text)
+
+
+def scan(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
+    """``keep`` columns, counts and digest of base spans, and every seed and candidate with its patterns. One pass over whole texts."""
     row = "struct<kind:int,start:int,end:int,seed:boolean,form:string,patterns:array<string>>"
-    schema = f"doc_id long, n0 long, n1 long, n2 long, n3 long, base string, base_sha256 string, found array<{row}>"
-    names = ["doc_id", "n0", "n1", "n2", "n3", "base", "base_sha256", "found"]
+    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.select(*keep).schema)
+    names = ["__n0", "__n1", "__n2", "__n3", "__sha", "__found"]
     item = pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("seed", pa.bool_()), ("form", pa.string()), ("patterns", pa.list_(pa.string()))])
+    kinds = [pa.int64()] * 4 + [pa.string(), pa.list_(item)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, "__text"):
                 columns: list[list] = [[] for _ in names]
-                for doc, t in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist()):
+                for t in part.column("__text").to_pylist():
                     t = t or ""
                     base = base_spans(t)
-                    text_of = joined(base)
                     each = [(s, k, e, True) for s, k, e in base] + [(s, k, e, False) for s, k, e in rest_spans(t, base)]
-                    found = [{"kind": k, "start": s, "end": e, "seed": seed, "form": t[s:e].lower(), "patterns": contexts(t, s, e)} for s, k, e, seed in each]
-                    for c, v in zip(columns, (doc, *(sum(k == i for _, k, _ in base) for i in range(4)), text_of, hashlib.sha256(text_of.encode()).hexdigest(), found)):
+                    found = [{"kind": k, "start": s, "end": e, "seed": seed, "form": form(k, t[s:e]), "patterns": contexts(t, s, e)} for s, k, e, seed in each]
+                    for c, v in zip(columns, (*(sum(k == i for _, k, _ in base) for i in range(4)), hashlib.sha256(joined(base).encode()).hexdigest(), found)):
                         c.append(v)
-                kinds = [pa.int64()] * 5 + [pa.string()] * 2 + [pa.list_(item)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), *(pa.array(c, k) for c, k in zip(columns, kinds))], [*keep, *names])
 
-    return docs.select("doc_id", F.col(text).alias("text")).mapInArrow(run, schema)
+    schema = f"{fields}__n0 long, __n1 long, __n2 long, __n3 long, __sha string, __found array<{row}>"
+    return docs.select(*keep, F.col(text).alias("__text")).mapInArrow(run, schema)
 
 
-def bootstrap(found: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, trust: float = TRUST, accept: float = ACCEPT) -> DataFrame:
-    """The candidates that trusted patterns vouch for: doc_id, kind, start, end.
+def bootstrap(found: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, discount: float = DISCOUNT, trust: float = TRUST, accept: float = ACCEPT) -> DataFrame:
+    """The instances that trusted patterns vouch for: kind, form, voice.
 
-    ``found`` has doc_id, kind, start, end, seed, form, patterns. An instance is a kind and a form. A pattern's score is the
-    mean score of the distinct instances it catches, as long as it caught enough seeds; an instance's is 1 for seeds, else
-    one minus the product of its patterns' doubts, where only trusted patterns speak. Both are recomputed each round.
+    ``found`` has kind, form, seed and patterns. A pattern's score is the known worth of the distinct instances it catches
+    over their number, where an instance that is no seed counts ``discount`` as long as nothing vouches for it; patterns that
+    caught fewer than ``support`` seeds have none. Seeds are worth 1, an instance of unknown worth 0.
     """
-    edges = found.select("kind", "form", "seed", F.explode("patterns").alias("pattern"))
+    edges = found.select("kind", "form", "seed", F.explode_outer("patterns").alias("pattern"))
     edges = written(edges.groupBy("kind", "form", "pattern").agg(F.max("seed").alias("seed")), "patterns")
-    scored = edges.withColumn("score", F.col("seed").cast("double"))
-    vouched = None
+    own = edges.where("seed").select("kind", "form").distinct()
+    open_ = written(edges.where("not seed and pattern is not null").join(own, ["kind", "form"], "left_anti"), "open")
+    seeds = written(edges.where("seed and pattern is not null").groupBy("kind", "pattern").agg(F.count("*").alias("seeds")).where(F.col("seeds") >= support), "seeds")
+    voices, said = None, None
     for _ in range(rounds):
-        pattern = scored.groupBy("kind", "pattern").agg(F.avg("score").alias("pattern_score"), F.count(F.when(F.col("seed"), 1)).alias("seeds"))
-        pattern = pattern.where((F.col("seeds") >= support) & (F.col("pattern_score") >= trust))
-        doubt = F.exp(F.sum(F.ln(F.greatest(1 - F.col("pattern_score"), F.lit(1e-9)))))
-        # seeds need no voice; the others are few
-        vouched = edges.where("not seed").join(pattern.select("kind", "pattern", "pattern_score"), ["kind", "pattern"])
-        vouched = written(vouched.groupBy("kind", "form").agg((1 - doubt).alias("voice")), "voices")
-        scored = edges.join(vouched, ["kind", "form"], "left").withColumn("score", F.when(F.col("seed"), 1.0).otherwise(F.coalesce("voice", F.lit(0.0))))
-    good = vouched.where(F.col("voice") >= accept).select("kind", "form")
-    return found.where("not seed").join(good, ["kind", "form"]).select("doc_id", "kind", "start", "end")
-
-
-def extract(docs: DataFrame, text: str = "text") -> DataFrame:
-    """One row for each document: counts and digest of base spans, number of added ones, and all spans as text.
-
-    Null text: empty. Rows repeated with the same id keep a row each; spans added to any of them appear in all.
+        worth = open_ if voices is None else open_.join(voices.where(F.col("voice") >= accept), ["kind", "form"], "left")
+        voice = F.lit(0.0) if voices is None else F.coalesce("voice", F.lit(0.0))
+        rest = worth.groupBy("kind", "pattern").agg(F.sum(voice).alias("known"), F.sum(F.greatest(voice, F.lit(discount))).alias("weight"))
+        rest = written(rest, "rest")
+        score = (F.col("seeds") + F.coalesce("known", F.lit(0.0))) / (F.col("seeds") + F.coalesce("weight", F.lit(0.0)))
+        trusted = seeds.join(rest, ["kind", "pattern"], "left").select("kind", "pattern", score.alias("score")).where(F.col("score") >= trust)
+        trusted = written(trusted, "trusted")
+        doubt = F.exp(F.sum(F.ln(F.greatest(1 - F.col("score"), F.lit(1e-9)))))
+        voices = written(open_.join(trusted, ["kind", "pattern"]).groupBy("kind", "form").agg((1 - doubt).alias("voice")), "voices")
+        before, said = said, voices.where(F.col("voice") >= accept).count()
+        if said == (before or 0):
+            break
+    return written(voices.where(F.col("voice") >= accept).unionByName(own.withColumn("voice", F.lit(1.0))), "known")
+
+
+def extract(docs: DataFrame, text: str = "text", keep: list[str] = ("doc_id",)) -> DataFrame:
+    """``keep`` columns, counts and digest of base spans, all spans as text, and the number of added ones, for every row.
+
+    Null text: empty. Rows repeated with the same id keep a row each, with the spans of their own text. A candidate with the
+    digits or letters of a seed elsewhere is known. Of accepted spans that overlap, the surest stays, then the longest, then the first.
     """
-    seen = written(scan(docs, text), "spans")
-    found = seen.select("doc_id", F.explode("found").alias("f")).select("doc_id", "f.*")
-    added = bootstrap(found).distinct()
-    named = F.element_at(F.array(*map(F.lit, KINDS)), F.col("kind") + 1)
-    spot = F.struct("start", "kind", F.concat_ws(":", named, "start", "end").alias("t"))
-    added = added.groupBy("doc_id").agg(F.collect_list(spot).alias("more"))
-    own = F.transform(F.filter("found", lambda f: f["seed"]), lambda f: F.struct(f["start"].alias("start"), f["kind"].alias("kind"), F.concat_ws(":", F.element_at(F.array(*map(F.lit, KINDS)), f["kind"] + 1), f["start"], f["end"]).alias("t")))
-    every = F.array_sort(F.concat(own, F.coalesce("more", F.lit([]).cast("array<struct<start:int,kind:int,t:string>>"))))
-    rows = seen.join(added, "doc_id", "left")
-    counts = [F.col(f"n{i}").alias(f"n_{k}") for i, k in enumerate(KINDS)]
-    return rows.select("doc_id", *counts, "base_sha256", F.array_join(F.transform(every, lambda x: x["t"]), ",").alias("spans"), F.coalesce(F.size("more"), F.lit(0)).alias("n_added"))
+    keep = list(keep)
+    seen = written(scan(docs, keep, text).withColumn("__rid", F.monotonically_increasing_id()), "spans")
+    found = seen.select("__rid", F.explode("__found").alias("f")).select("__rid", "f.*")
+    good = bootstrap(found)
+    spot = F.struct((-F.col("voice")).alias("doubt"), (F.col("start") - F.col("end")).alias("size"), "start", "end", "kind")
+    added = found.where("not seed").join(good, ["kind", "form"]).groupBy("__rid").agg(F.array_sort(F.collect_set(spot)).alias("__more"))
+    apart = lambda kept, x: ~F.exists(kept, lambda k: (k["start"] < x["end"]) & (x["start"] < k["end"]))
+    none = F.array().cast("array<struct<doubt:double,size:int,start:int,end:int,kind:int>>")
+    kept = F.aggregate("__more", none, lambda out, x: F.when(apart(out, x), F.concat(out, F.array(x))).otherwise(out))
+    plain = seen.where("not exists(__found, f -> not f.seed)").withColumn("__kept", none)
+    open_ = seen.where("exists(__found, f -> not f.seed)").join(added, "__rid", "left").withColumn("__kept", F.coalesce(kept, none)).drop("__more")
+    at = lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"))
+    named = lambda x: F.concat_ws(":", F.element_at(F.array(*map(F.lit, KINDS)), x["kind"] + 1), x["start"], x["end"])
+    every = F.array_sort(F.concat(F.transform(F.filter("__found", lambda f: f["seed"]), at), F.transform("__kept", at)))
+    counts = [F.col(f"__n{i}").alias(f"n_{k}") for i, k in enumerate(KINDS)]
+    spans = F.array_join(F.transform(every, named), ",").alias("spans")
+    return plain.unionByName(open_).select(*keep, *counts, F.col("__sha").alias("base_sha256"), spans, F.size("__kept").alias("n_added"))
 
 
 def mask(text: str, spans: str) -> str:
@@ -203,5 +232,23 @@ def mask(text: str, spans: str) -> str:
     return "".join([*out, text[at:]])
 
 
+def masked(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``docs`` with every span of personal data replaced by its kind in brackets; a text without any stays as it is, null too."""
+    names = docs.columns
+    rows = extract(docs, text, names).select(*names, "spans")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    at = names.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, text):
+                texts = [mask(t, s) if s else t for t, s in zip(part.column(text).to_pylist(), part.column("spans").to_pylist())]
+                columns = [part.column(c) for c in names]
+                columns[at] = pa.array(texts, pa.string())
+                yield pa.RecordBatch.from_arrays(columns, names)
+
+    return rows.mapInArrow(run, schema)
+
+
 def op4(spark, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "documents"))
