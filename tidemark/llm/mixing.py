@@ -1,9 +1,10 @@
 """Mixing to target weights with soft membership.
 
 A classifier learned from labelled documents gives each document a posterior over domains. Document rates r >= 0 are then
-fitted so that the expected tokens of each domain, sum over documents of r x tokens x posterior, match the targets: least
-squares by projected gradient. Documents never move: a step needs one sum for each domain over all documents, and a
-document's rate is a function of its own row and of the residuals so far, which are a few numbers. DataFrame functions only.
+fitted so that the expected tokens of each domain, A r with A of tokens x posteriors, match the targets t: least squares by
+projected gradient. A step moves every document's rate against the gradient, along its posterior, and clips it at its bound.
+Documents never move: a step needs one sum for each domain over all of them, and a rate is a function of its own row and of
+the steps so far, a few numbers each. DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -20,10 +21,12 @@ from tidemark.llm.common import table, written
 _LOG = logging.getLogger(__name__)
 #: Labelled documents that the classifier is learned from, at most; those with the least hashed ids.
 SAMPLE = 12_000
-#: Words that count as signs of a toxic text, at most, and the least evidence for one.
-SIGNS, LEAST_ODDS, LEAST_RATIO = 48, 2.0, 20.0
-#: Steps of the projected gradient, the times that one may be halved, and the relative residual at which it ends.
-STEPS, HALVINGS, CLOSE = 30, 6, 1e-6
+#: The least evidence for a word that counts as a sign of a toxic text: documents, log odds, log-likelihood ratio.
+LEAST_SEEN, LEAST_ODDS, LEAST_RATIO = 5, 2.0, 20.0
+#: Steps of the projected gradient, the times that one may be halved, the residual at which it ends (of the least target), the
+#: residuals of which a step must stay below the greatest, by what share of its length, and the steps after which the rates
+#: are written.
+STEPS, HALVINGS, CLOSE, LOOK_BACK, ENOUGH, WRITE = 60, 8, 1e-3, 4, 1e-4, 8
 #: Domains: names, and each one's labels.
 DOMAINS = {"good": "quality = 1 and toxic = 0", "poor": "quality = 0 and toxic = 0", "toxic": "toxic = 1"}
 #: Shares of all expected tokens.
@@ -35,23 +38,27 @@ def token_count(text: Column) -> Column:
     return F.greatest(F.lit(1), F.regexp_count(text, F.lit(r"[^\s\p{Z}\x85]+"))).cast("long")
 
 
+def words(text: Column) -> Column:
+    """Runs of letters of the lower-case text."""
+    return F.split(F.lower(text), r"\P{L}+")
+
+
 def traits(text: Column, tokens: Column, signs: list[str]) -> dict[str, Column]:
     """Cheap traits of a whole text, each a small class number: size, odd characters, upper case, long words, repeated lines, signs.
 
     A sign is a whole word of the lower-case text, and counts as often as it stands there.
     """
-    size, words = F.greatest(F.char_length(text), F.lit(1)).cast("double"), tokens.cast("double")
+    size, count = F.greatest(F.char_length(text), F.lit(1)).cast("double"), tokens.cast("double")
     lines = F.split(text, "\n")
-    low = F.lower(text)
     found = {
         "size": F.least(F.lit(9), F.floor(F.log2(size) * 0.6)),
         "odd": F.least(F.lit(7), F.floor(40 * F.regexp_count(text, F.lit(r"[^\p{L}\p{M}\p{Z}\s.,]")) / size)),
         "upper": F.least(F.lit(7), F.floor(16 * F.regexp_count(text, F.lit(r"\p{Lu}")) / size)),
-        "word": F.least(F.lit(9), F.floor(size / words)),
-        "lines": F.least(F.lit(7), F.floor(20 * (F.size(lines) - F.size(F.array_distinct(lines))) / words)),
+        "word": F.least(F.lit(9), F.floor(size / count)),
+        "lines": F.least(F.lit(7), F.floor(20 * (F.size(lines) - F.size(F.array_distinct(lines))) / count)),
     }
     if signs:
-        found["signs"] = F.least(F.lit(3), F.regexp_count(low, F.lit(r"(?<!\p{L})(?:" + "|".join(signs) + r")(?!\p{L})")))
+        found["signs"] = F.least(F.lit(3), F.size(F.filter(words(text), lambda w: w.isin(signs))))
     return {k: v.cast("int") for k, v in found.items()}
 
 
@@ -96,13 +103,14 @@ def learn(docs: DataFrame, labels: DataFrame, domains: dict[str, str] = DOMAINS,
     good = sum(size) - bad
     signs: list[str] = []
     if bad and good:
-        word = F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))).alias("word")
-        seen = rows.select("toxic", word).where("length(word) between 3 and 24").groupBy("word").agg(F.sum(F.col("toxic").cast("double")).alias("a"), F.sum(1 - F.col("toxic").cast("double")).alias("b"))
+        word = F.explode(F.array_distinct(words(F.col("text")))).alias("word")
+        seen = rows.select("toxic", word).where("word <> ''").groupBy("word").agg(F.sum(F.col("toxic").cast("double")).alias("a"), F.sum(1 - F.col("toxic").cast("double")).alias("b"))
         odds = F.ln((F.col("a") + 0.5) / (bad - F.col("a") + 0.5)) - F.ln((F.col("b") + 0.5) / (good - F.col("b") + 0.5))
         expected = (F.col("a") + F.col("b")) / float(bad + good)
         ratio = 2 * sum(F.when(F.col(x) > 0, F.col(x) * F.ln(F.col(x) / (expected * float(n)))).otherwise(0.0) for x, n in (("a", bad), ("b", good)))
-        top = seen.where("a >= 5").withColumn("odds", odds).withColumn("ratio", ratio).where(f"odds >= {LEAST_ODDS} and ratio >= {LEAST_RATIO}")
-        signs = sorted(r.word for r in top.orderBy(F.desc("ratio"), "word").limit(SIGNS).collect())
+        top = seen.where(f"a >= {LEAST_SEEN}").withColumn("odds", odds).withColumn("ratio", ratio).where(f"odds >= {LEAST_ODDS} and ratio >= {LEAST_RATIO}")
+        # words of a bounded sample, each in several of its texts
+        signs = sorted(r.word for r in top.select("word").collect())
     found = traits(F.col("text"), token_count(F.col("text")), signs)
     long = rows.select("domain", F.explode(F.map_from_arrays(F.array(*map(F.lit, found)), F.array(*found.values()))).alias("trait", "value"))
     tables: dict[str, dict[int, list[float]]] = {name: {} for name in found}
@@ -133,68 +141,87 @@ def memberships(docs: DataFrame, model: Classifier, keep: list[str]) -> DataFram
     return rows.select(*keep, "tokens", *((F.col(f"e{k}") / total).alias(f"p{k}") for k in range(len(logs))))
 
 
+def _along(p: list[str], step: np.ndarray) -> Column:
+    return sum((F.col(c) * float(x) for c, x in zip(p, step)), F.lit(0.0))
+
+
 def fit_rates(rows: DataFrame, targets: list[float], steps: int = STEPS, floor: Column | None = None) -> tuple[Column, list[float], list[float]]:
     """A column of rates over ``rows`` (tokens, p0, p1, ...), the domains' wanted tokens and those that the rates give.
 
     ``targets`` are shares; the budget keeps the first domain at its present size, so that its documents stay near a rate of
-    one. Of all rates r >= 0 with A r = t, where A holds tokens x posteriors, those nearest to one in the least-squares sense
-    (weighted by tokens) are r = max(0, 1 + p . m): the projection of a step along each document's posterior. The steps go
-    down the gradient t - A r in m, scaled by A's product over the documents above zero and halved until the residual shrinks.
-    Targets that no rates can reach end where no step helps. ``floor`` takes the place of 0 as the least rate of a document.
+    one, where all begin. Minimised is half the sum of squares of (t - A r) / s over r >= ``floor`` (0), where s is the root of
+    a domain's tokens x posterior^2, so that small domains weigh as much as large ones. In the metric of tokens, a document's
+    step down the gradient is its posterior times (t - A r) / s^2, so documents of a kind move alike whatever their length.
+    The first step has the length of one over the greatest curvature; later ones follow the change of the gradient by either
+    spectral rule in turn, and one that leaves the residual above all of the last few is halved. The rates of the step with the
+    least residual count: of targets that no rates can reach, those near the least squares.
     """
     k = len(targets)
+    p = [f"p{i}" for i in range(k)]
     least = F.lit(0.0) if floor is None else floor
-    w = [F.col("tokens") * F.col(f"p{i}") for i in range(k)]
+    narrow = rows.select("tokens", *p, least.cast("double").alias("least"), F.greatest(least, F.lit(1.0)).cast("double").alias("r"))
+    gram = [F.sum(F.col("tokens") * F.col(a) * F.col(b)) for a in p for b in p]
 
-    def moved(m: np.ndarray) -> Column:
-        return sum((F.col(f"p{i}") * float(m[i]) for i in range(k)), F.lit(1.0))
+    def sums(table_: DataFrame, *found: Column) -> np.ndarray:
+        return np.array([float(x or 0.0) for x in table_.agg(*(f.alias(f"s{i}") for i, f in enumerate(found))).first()])
 
-    def rated(m: np.ndarray) -> Column:
-        return F.greatest(least, moved(m))
+    def tokens(rate: Column) -> list[Column]:
+        return [F.sum(rate * F.col("tokens") * F.col(c)) for c in p]
 
-    def totals(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """A r, and the product over the documents that are not held at their least rate."""
-        rate = rated(m)
-        free = F.when(moved(m) >= least, 1.0).otherwise(0.0)
-        sums = [F.sum(rate * x) for x in w] + [F.sum(free * w[i] * F.col(f"p{j}")) for i in range(k) for j in range(k)]
-        row = [float(x or 0.0) for x in rows.agg(*(s.alias(f"s{i}") for i, s in enumerate(sums))).first()]
-        return np.array(row[:k]), np.array(row[k:]).reshape(k, k)
-
-    m = np.zeros(k)
-    got, gram = totals(m)
+    first = sums(narrow, *tokens(F.col("r")), *gram)
+    got, gram_ = first[:k], first[k:].reshape(k, k)
     if not got.sum():
         return F.lit(1.0), [0.0] * k, [0.0] * k
     share = np.array(targets) / sum(targets)
     want = share * (got[0] / share[0] if got[0] > 0 and share[0] > 0 else got.sum())
-    for _ in range(steps):
-        if np.abs(want - got).max() <= CLOSE * want.sum():
+    weight = np.where(np.diag(gram_) > 0, 1 / np.maximum(np.diag(gram_), 1e-300), 0.0)
+    curve = float(np.linalg.eigvalsh(np.sqrt(weight)[:, None] * gram_ * np.sqrt(weight)).max())
+    length, loss = 1 / curve, lambda a: float(((want - a) ** 2 * weight).sum()) / 2
+    past, moves, at, rate = [loss(got)], [], narrow, F.col("r")
+    best, down = (past[0], 0, got), weight * (want - got)
+    for step in range(steps):
+        if np.abs(want - got).max() <= CLOSE * want.sum() * share[share > 0].min():
             break
-        move = np.linalg.pinv(gram + np.eye(k) * 1e-9 * np.trace(gram)) @ (want - got)
         for _ in range(HALVINGS):
-            now, there = totals(m + move)
-            if np.linalg.norm(want - now) < np.linalg.norm(want - got):
-                m, got, gram = m + move, now, there
+            moved = F.greatest(F.col("least"), rate + _along(p, length * down))
+            *there, far = sums(at, *tokens(moved), F.sum(F.col("tokens") * (moved - rate) * (moved - rate)))
+            there = np.array(there)
+            if loss(there) <= max(past[-LOOK_BACK:]) - ENOUGH * far / length:
                 break
-            move = move / 2
+            length /= 2
         else:
             break
-    return rated(m), want.tolist(), got.tolist()
-
-
-def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, domains: dict[str, str] = DOMAINS, keep_first: bool = False) -> DataFrame:
-    """Rates of all documents: doc_id, tokens, p_<domain>, rate, and copies (rate rounded up or down by the id's hash).
+        moves.append(length * down)
+        change, turn = there - got, weight * (got - there)
+        rate, got, down = moved, there, weight * (want - there)
+        along, bend = float((change**2 * weight).sum()), float(turn @ gram_ @ turn)
+        length = far / along if step % 2 and along > 0 else along / bend if bend > 0 else 1 / curve
+        length = float(np.clip(length, 1 / curve, 1e4 / curve))
+        past.append(loss(got))
+        best = min(best, (past[-1], len(moves), got), key=lambda x: x[0])
+        if len(moves) % WRITE == 0:
+            at = written(at.select("tokens", *p, "least", rate.alias("r")), "rates")
+            rate = F.col("r")
+    out = F.greatest(least, F.lit(1.0))
+    for move in moves[: best[1]]:
+        out = F.greatest(least, out + _along(p, move))
+    return out, want.tolist(), best[2].tolist()
+
+
+def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, domains: dict[str, str] = DOMAINS, keep_first: bool = False, keep: list[str] = ("doc_id",)) -> DataFrame:
+    """Rates of all documents: ``keep`` columns, tokens, p_<domain>, rate, and copies (rate rounded up or down by the id's hash).
 
     With ``keep_first``, documents more likely of the first domain than not have rates of one at least.
-    Null and empty texts count one token. Rows repeated with the same id keep a row each.
+    Null and empty texts count one token. Every row keeps its own rate; rows with the same id are rounded by the same chance.
     """
     model = learn(docs, labels, domains)
-    rows = written(memberships(docs, model, ["doc_id"]), "memberships")
+    rows = written(memberships(docs, model, list(keep)), "memberships")
     rate, want, got = fit_rates(rows, [targets[d] for d in model.domains], floor=F.when(F.col("p0") >= 0.5, 1.0).otherwise(0.0) if keep_first else None)
-    far = max(abs(a - b) for a, b in zip(want, got)) > CLOSE * sum(want)
+    far = max((abs(a - b) / a for a, b in zip(want, got) if a), default=0.0) > 0.01
     for d, a, b in zip(model.domains, want, got):
         _LOG.log(logging.WARNING if far else logging.INFO, "domain %s: %.0f tokens wanted, %.0f reached", d, a, b)
     rated = rows.withColumn("rate", rate)
-    return rated.select("doc_id", "tokens", *(F.col(f"p{k}").alias(f"p_{d}") for k, d in enumerate(model.domains)), "rate", copies(F.col("rate"), F.col("doc_id")).alias("copies"))
+    return rated.select(*keep, "tokens", *(F.col(f"p{k}").alias(f"p_{d}") for k, d in enumerate(model.domains)), "rate", copies(F.col("rate"), F.col("doc_id")).alias("copies"))
 
 
 def copies(rate: Column, key: Column) -> Column:
