@@ -1,8 +1,10 @@
 """Harmonic packing of tokenised documents into sequences of fixed capacity.
 
 Piece lengths fall into classes: class j holds lengths in (C / (j + 1), C / j], and a bin of class j takes exactly j
-pieces, so workers fill their bins without knowing of each other. Documents may be cut: full sequences are taken off
-first, then pieces that fill their class exactly, so that the rest is placed with a few tokens of waste.
+pieces, so workers fill their bins without knowing of each other. A piece of class 1 is a bin of its own and never moves.
+What workers have left over, fewer than j pieces of class j each, is filled by groups of workers, then by groups of groups.
+Documents may be cut: full sequences are taken off first, then pieces that fill their class exactly, so that the rest is
+placed with a few tokens of waste.
 """
 
 from __future__ import annotations
@@ -13,11 +15,12 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import slices, table, written
@@ -27,8 +30,8 @@ CAPACITY = 2048
 CLASSES = 64
 #: Tokens by which a document's last piece may fall short of its class.
 SLACK = 16
-#: Pieces that one worker packs on its own, about.
-WORKER_PIECES = 200_000
+#: Pieces that one worker packs on its own, about, and workers of a group.
+WORKER_PIECES, GROUP = 100_000, 16
 #: The id after each document's own.
 END = 1
 #: Words of a generation whose ids a Python worker remembers.
@@ -44,9 +47,12 @@ class WordTokenizer:
 
     Words are tokenised once and remembered in two generations: what the last ones used stays. Plain words go to the
     tokenizer's model at once, in the form that its normalizer and splitter would give them; all others go through the whole
-    tokenizer, and so does a text with a marker of special tokens.
+    tokenizer, and so does a text with a marker of special tokens or with a sign that only one of the two takes for white space.
     """
 
+    #: The separators that Python parts words at and the tokenizer doesn't, and the beginning of a special token.
+    UNLIKE = ("\x1c", "\x1d", "\x1e", "\x1f", "<|")
+
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a worker has one core
         from tokenizers import Tokenizer
@@ -85,7 +91,7 @@ class WordTokenizer:
                 self.known[w] = array("I", code.ids).tobytes()
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        split = [t.split() if "<|" not in t else None for t in texts]
+        split = [None if any(x in t for x in self.UNLIKE) else t.split() for t in texts]
         self._learn({w for words in split if words for w in words})
         known = self.known
         out = []
@@ -162,46 +168,54 @@ def _first_fit(capacity: int):
     return run
 
 
-def harmonic_pack(pieces: DataFrame, capacity: int = CAPACITY, classes: int = CLASSES) -> DataFrame:
+def harmonic_pack(pieces: DataFrame, capacity: int = CAPACITY, classes: int = CLASSES, worker_pieces: int = WORKER_PIECES) -> DataFrame:
     """``pieces`` (with doc_id, start, length) plus sequence_id and offset.
 
-    Workers fill whole bins of each class; what they have left over (fewer than j pieces of class j each) is dealt by class
-    and filled again; what is left then (fewer than j pieces of class j in all) is packed by first fit, longest first.
-    Pieces longer than the capacity are an error. Rows with equal keys are separate pieces.
+    Workers fill whole bins of each class; what they have left over (fewer than j pieces of class j each) is dealt to a worker
+    of the next level for every ``GROUP``, and so on; what the last one leaves (fewer than j pieces of class j in all) is packed
+    by first fit, longest first. Pieces longer than the capacity are an error. Rows with equal keys are separate pieces.
     """
     names = pieces.columns
     size = F.col("length")
     grade = F.least(F.lit(classes), F.floor(F.lit(capacity) / size)).cast("int")
-    rows = written(pieces.withColumn("__class", F.when(size.between(1, capacity), grade).otherwise(F.raise_error(F.lit("a piece's length is not in 1..capacity")).cast("int"))), "pieces")
-    workers = max(1, -(-rows.count() // WORKER_PIECES))
-    rows = rows.withColumn("__worker", F.pmod(F.xxhash64("doc_id", "start"), F.lit(workers)).cast("int"))
-    order = [F.col(c) for c in ("doc_id", "start", *(c for c in names if c not in ("doc_id", "start")))]
-
-    def fill(level: DataFrame, dealt: list[str]) -> DataFrame:
+    checked = F.when(size.between(1, capacity), grade).otherwise(F.raise_error(F.lit("a piece's length is not in 1..capacity")).cast("int"))
+    rows = written(pieces.withColumn("__class", checked).withColumn("__rid", F.monotonically_increasing_id()), "pieces")
+    shared = rows.where("__class > 1")
+    workers = [max(1, -(-shared.count() // worker_pieces))]
+    while workers[-1] > 1:
+        workers.append(-(-workers[-1] // GROUP))
+    order = [F.col(c) for c in ("doc_id", "start", "__rid")]
+    dealt = ["__worker", "__class"]
+
+    def fill(level: DataFrame) -> DataFrame:
         inside = Window.partitionBy(*dealt)
         level = level.withColumn("__bin", F.floor((F.row_number().over(inside.orderBy(*order)) - 1) / F.col("__class")).cast("long"))
         return level.withColumn("__full", (F.col("__bin") + 1) * F.col("__class") <= F.count("*").over(inside))
 
-    def placed(level: DataFrame, dealt: list[str]) -> DataFrame:
+    def placed(level: DataFrame) -> DataFrame:
         before = Window.partitionBy(*dealt, "__bin").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
         return level.where("__full").withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)).cast("long"))
 
-    # numbers of the three levels' bins never meet: worker, class and bin decide them
-    number = lambda worker: ((F.col("__bin") * F.lit(workers + 2) + worker) * F.lit(classes + 1) + F.col("__class")).cast("long")
-    first = fill(rows, ["__worker", "__class"])
-    left = written(first.where("not __full").select(*names, "__class"), "left")
-    second = fill(left, ["__class"])
-    last = second.where("not __full").select(*names)
+    # numbers never meet: a single piece's is odd; level, worker, class and bin decide any other
+    many = sum(workers) + 1
+
+    def number(worker: Column) -> Column:
+        return (2 * ((F.col("__bin") * F.lit(many) + worker) * F.lit(classes + 1) + F.col("__class"))).cast("long")
+
+    done = [rows.where("__class = 1").withColumns({"sequence_id": 2 * F.col("__rid") + 1, "offset": F.lit(0).cast("long")})]
+    level, base = shared.withColumn("__worker", F.pmod(F.xxhash64("doc_id", "start", "__rid"), F.lit(workers[0])).cast("int")), 0
+    for k, n in enumerate(workers):
+        filled = fill(level)
+        done.append(placed(filled).withColumn("sequence_id", number(F.col("__worker") + base)))
+        left = filled.where("not __full").drop("__bin", "__full")
+        if k + 1 < len(workers):
+            level, base = written(left.withColumn("__worker", F.floor(F.col("__worker") / GROUP).cast("int")), "left"), base + n
+    last = left.select(*names)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in last.schema)
     # fewer than j pieces of each class j: at most classes * (classes - 1) / 2 rows
     last = last.withColumn("__class", F.lit(0)).groupBy("__class").applyInPandas(_first_fit(capacity), f"{fields}, __class int, __bin long, offset long")
-    levels = [
-        placed(first, ["__worker", "__class"]).withColumn("sequence_id", number(F.col("__worker"))),
-        placed(second, ["__class"]).withColumn("sequence_id", number(F.lit(workers))),
-        last.withColumn("sequence_id", number(F.lit(workers + 1))),
-    ]
-    done = [x.select(*names, "sequence_id", F.col("offset").cast("long").alias("offset")) for x in levels]
-    return done[0].unionByName(done[1]).unionByName(done[2])
+    done.append(last.withColumn("sequence_id", number(F.lit(many - 1))))
+    return reduce(DataFrame.unionByName, [x.select(*names, "sequence_id", F.col("offset").cast("long").alias("offset")) for x in done])
 
 
 def default_tokenizer() -> str:
