@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
-from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm import langid, mixing, ngram_join, packing, pii
-from tidemark.llm.common import held_out, scratch_dir, table
+from tidemark.llm.common import forget, held_out, table, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -32,25 +30,21 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def join_ngrams(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that links connect, the one with the least id stays; of rows with the same id, one."""
-    kept = ngram_join.join(docs).where("kept").select("doc_id")
-    return docs.join(kept, "doc_id").dropDuplicates(["doc_id"]).select(*COLUMNS)
+    """Of documents that links connect, the one with the least id stays.
+
+    Of rows with the same id, the one stays whose text the join took for it; of those with that text, the first by lang, source
+    and n_chars, nulls first. Rows without an id go, as nothing later could tell them apart.
+    """
+    kept = ngram_join.join(docs, with_mark=True).where("kept").select("doc_id", "mark")
+    own = F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary")))
+    rows = docs.join(kept, "doc_id").where(own == F.col("mark"))
+    first = Window.partitionBy("doc_id").orderBy("lang", "source", "n_chars", F.col("text").isNull())
+    return rows.withColumn("__n", F.row_number().over(first)).where("__n = 1").select(*COLUMNS)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each span of personal data is replaced by its kind in brackets; every document stays."""
-    spans = pii.extract(docs).where("spans <> ''").select("doc_id", "spans")
-    body = F.coalesce(F.col("text"), F.lit(""))
-    parts = F.transform(F.split("spans", ","), lambda s: F.struct(F.split(s, ":")[0].alias("kind"), F.split(s, ":")[1].cast("int").alias("start"), F.split(s, ":")[2].cast("int").alias("end")))
-    begin = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-
-    def put(state, x):
-        gap = F.when(x["start"] >= state["at"], F.concat(F.substring(body, state["at"] + 1, x["start"] - state["at"]), F.lit("["), x["kind"], F.lit("]"))).otherwise("")
-        return F.struct(F.concat(state["out"], gap).alias("out"), F.greatest(state["at"], x["end"]).alias("at"))
-
-    whole = F.aggregate(parts, begin, put, lambda s: F.concat(s["out"], F.substring(body, s["at"] + 1, F.char_length(body))))
-    joined = docs.join(spans, "doc_id", "left")
-    return _with_length(joined.withColumn("text", F.when(F.col("spans").isNull(), F.col("text")).otherwise(whole)))
+    return _with_length(pii.masked(docs.select(*COLUMNS)))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str, targets: dict[str, float] = mixing.TARGETS) -> DataFrame:
@@ -58,9 +52,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str, targets: dict
 
     A rate is rounded up or down by the id's hash, and the fit bounds that of a document more likely good than not by one from below.
     """
-    rated = mixing.mix(docs, table(spark, sf_dir, "labels"), targets, keep_first=True)
-    rated = rated.select("doc_id", F.col("copies").alias("__copies")).dropDuplicates(["doc_id"]).where("__copies > 0")
-    many = docs.join(rated, "doc_id").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
+    rated = mixing.mix(docs, table(spark, sf_dir, "labels"), targets, keep_first=True, keep=COLUMNS)
+    many = rated.where("copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
     return many.select(*COLUMNS)
 
 
@@ -77,17 +70,16 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("packing", pack),
 ]
 
-#: SQL can express no stage but masking, so there is none; tests compare the stages with brute force.
+#: SQL can express no stage, so there is none; tests compare the stages with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The pieces that the last stage packs from all documents."""
-
-    def step(docs: DataFrame, stage) -> DataFrame:
-        made = stage[1](spark, docs, sf_dir)
-        path = f"{scratch_dir(spark)}/tidemark/{spark.sparkContext.applicationId}/stage-{uuid.uuid4().hex}"
-        made.write.parquet(path)
-        return spark.read.schema(made.schema).parquet(path)
-
-    return reduce(step, STAGES, table(spark, sf_dir, "documents"))
+    """The pieces that the last stage packs from all documents. A stage's table goes when the next one is written."""
+    docs, before = table(spark, sf_dir, "documents"), None
+    for name, stage in STAGES:
+        docs = written(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
+        if before is not None:
+            forget(before)
+        before = docs
+    return docs
