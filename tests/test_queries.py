@@ -7,7 +7,7 @@ from datetime import date, datetime
 import duckdb
 import pytest
 
-from tidemark.plans import catalogue, more  # noqa: F401
+from tidemark.plans import catalogue, more, passes  # noqa: F401
 
 DATA = "/root/testdata/sf0.001"
 

@@ -33,6 +33,23 @@ def test_listing_conflicts():
     assert score_listing("athena 75 with pbtfans fairy r2", {}, Product(1, "a", "athena 75"), set(), (), ("with PBTfans",)).value == pytest.approx(0.5)
 
 
+def test_mentions_by_joins_are_those_by_loops(spark):
+    """The joined form against the catalog's own loop over all products, on texts with every spelling and neighbour."""
+    from tidemark.operators.resolve import claims, find_mentions, shared_out
+
+    products = [Product(1, "keychron", "q15 max"), Product(2, "hhkb", "studio"), Product(3, "glorious", "gmmk pro"), Product(4, "wooting", "60he"), Product(5, "keychron", "q15"), Product(6, "keychron", "k2 he pro", ("kay two",)), Product(7, "", "th80")]
+    texts = ["Just got my Keychron Q15 Max and love it", "my studio is quiet", "HHKB Studio", "gmmk pro is heavy", "keychron gmmk pro clone", "the gmmk pro or the q15 max", "q15max vs 60 he, no regrets!", "k2hepro", "kay two pro of keychron", "Q15. Pro q15", "", None, "the th80 hhkb", "q 15 keychron max"]
+    df = spark.createDataFrame(list(enumerate(texts)), "mention_id long, text string")
+    catalog = Catalog(products)
+    want = {(i, p.product_id, round(s.value, 9), s.start, s.end - s.start + 1) for i, t in enumerate(texts) for p, s in catalog.mentions(t or "")}
+    norm = df.select("mention_id", T.normalized(F.coalesce("text", F.lit(""))).alias("norm"))
+    rows = shared_out(claims(norm, products)).select("mention_id", F.explode("said").alias("s")).select("mention_id", "s.*").collect()
+    assert {(r.mention_id, r.product_id, round(r.score, 9), r.start, r.size) for r in rows} == want
+    said = {(r.mention_id, r.product_id): r for r in find_mentions(df, products).collect()}
+    assert said[0, 1].sentiment == "positive" and said[0, 1].excerpt == texts[0] and len(said) == len(want)
+    assert find_mentions(df, []).count() == 0
+
+
 def test_mentions():
     catalog = Catalog([Product(1, "keychron", "q15 max"), Product(2, "hhkb", "studio"), Product(3, "glorious", "gmmk pro"), Product(4, "wooting", "60he")])
     found = lambda t: [(p.product_id, s.value) for p, s in catalog.mentions(t)]
@@ -59,8 +76,13 @@ def test_sentiment(text, sentiment):
 
 
 def test_rank_and_money(spark):
-    rows = spark.createDataFrame([("1. Keychron Q1 Pro\n2. other", "q1 pro"), ("my #2 is the q1 pro", "q1 pro"), ("2 q1 pro boards", "q1 pro"), ("number 3: q1 pro", "q1 pro")], "t string, n string")
-    assert [r[0] for r in rows.select(T.rank(F.col("t"), F.col("n"))).collect()] == [1, 2, None, 3]
+    rows = spark.createDataFrame([("1. Keychron Q1 Pro\n2. other", "q1 pro"), ("my #2 is the q1 pro", "q1 pro"), ("2 q1 pro boards", "q1 pro"), ("number 3: q1 pro", "q1 pro"), (None, "q1 pro"), ("#1 q1 pro", "")], "t string, n string")
+    assert [r[0] for r in rows.select(T.ranks(F.col("t"), F.col("n"))).collect()] == [1, 2, None, 3, None, None]
+    many = "My top 5 for 2026:\n1. Keychron Q1 Pro\n2) Glorious GMMK Pro\n#3 KBDfans Athena 75\nnumber 4: Wooting 60HE V2"
+    assert [T.rank(many, n.split()) for n in ("q1 pro", "gmmk pro", "athena 75", "60he v2")] == [1, 2, 3, 4]
+    for text, name in (("I bought 2 Epomaker P65 on Amazon", "epomaker p65"), ("5. Keychron K2 Ultra 4. Epomaker TH80", "th80"), ("top 5 keyboards: the Q1 Pro", "q1 pro"), ("#1 Q15 Max", "q1"), ("1. a b c q1", "q1"), ("no. 2\na\nq1", "q1")):
+        assert T.rank(text, name.split()) is None, text
+    assert T.rank("ranked 7 — the big q1", ["q1"]) == 7 and T.rank("no.2 q1", ["q1"]) == 2
     money = spark.createDataFrame([("12.345",), ("-1",), ("abc",), (None,)], "t string").select(T.to_cents(F.col("t"))).collect()
     assert [m[0] for m in money] == [1235, None, None, None]
 

@@ -14,12 +14,23 @@ from pyspark.sql.types import StringType
 SENTENCE_END = r"(?<=[.!?])\s+|[\r\n]+"
 
 
+class _Plain(dict):
+    """What each character of a decomposed text becomes; worked out when it is first met."""
+
+    def __missing__(self, point: int) -> str | None:
+        c = chr(point)
+        self[point] = out = None if unicodedata.category(c) == "Mn" else c.lower() if c.isalpha() or c.isdecimal() else " "
+        return out
+
+
+_PLAIN = _Plain()
+
+
 def normalize(text: str | None) -> str:
     """Compatibility forms taken apart, marks dropped, lower case, anything but letters and digits one space."""
     if not text:
         return ""
-    plain = (c for c in unicodedata.normalize("NFKD", text) if unicodedata.category(c) != "Mn")
-    return " ".join("".join(c.lower() if c.isalpha() or c.isdecimal() else " " for c in plain).split())
+    return " ".join((text if text.isascii() else unicodedata.normalize("NFKD", text)).translate(_PLAIN).split())
 
 
 @F.pandas_udf(StringType())
@@ -61,7 +72,7 @@ def has_digit(token: Column) -> Column:
 def to_cents(text: Column) -> Column:
     """Decimal text to cents, half up; negative or unreadable: null."""
     value = F.trim(text).try_cast("decimal(20,6)")
-    return F.when(value >= 0, F.round(value * 100, 0).cast("int"))
+    return F.when(value >= 0, F.round(value * 100, 0).cast("long"))
 
 
 def cents_in(text: Column) -> Column:
@@ -73,18 +84,67 @@ def sentences(text: Column) -> Column:
     return F.split(text, SENTENCE_END, -1)
 
 
-def rank(text: Column, name: Column) -> Column:
-    """The place that a list or a "#3", "no. 3", "number 3", "ranked 3" gives to normalised ``name``, with two words between at most."""
-    spaced = F.regexp_replace(name, " ", r"[^\\p{Alnum}]+")
-    lead = r"(?iU)(?:(?<=^|[\r\n])\s*#?(\d{1,2})[.):\-–—]|(?:#|\bno\.?\s?|\bnumber\s+|\brank(?:ed)?\s+)(\d{1,2}))\s*[:.)\-–—]?\s*(?:[\p{Alnum}]+[^\p{Alnum}\r\n]+){0,2}(?<![\p{Alnum}])"
-    pattern = F.concat(F.lit(lead), spaced, F.lit(r"(?![\p{Alnum}])"))
-    first, second = (F.call_function("regexp_extract", text, pattern, F.lit(i)) for i in (1, 2))
-    return F.when(F.length(name) > 0, F.coalesce(first.try_cast("int"), second.try_cast("int")))
+def parse_domain(url: Column) -> Column:
+    """The last two labels of a URL's host, in lower case: the registrable domain where public suffixes have one label."""
+    host = F.lower(F.call_function("try_parse_url", url, F.lit("HOST")))
+    return F.when(host.rlike(r"^[0-9.]+$"), host).otherwise(F.coalesce(F.nullif(F.regexp_extract(host, r"([^.]+\.[^.]+)$", 1), F.lit("")), host))
+
+
+_TOKEN = re.compile(r"[^\W_]+")
+#: Words that announce a rank, and what may stand between a rank and what follows.
+_ANNOUNCE = frozenset({"no", "number", "rank", "ranked"})
+_LIST_SIGN, _PAUSE = re.compile(r"[.):\-–—]"), re.compile(r"\s*[:.)\-–—]?\s*\Z")
+
+
+def rank(text: str | None, name: list[str]) -> int | None:
+    """The place that a list or a "#3", "no. 3", "number 3", "ranked 3" gives to a name, with two words between at most.
+
+    A number is a rank if a sign or word announces it, or if it opens a line and a list sign follows. Tokens are compared by
+    their place: the name must follow the rank after no more than two others, without a line's end between them.
+    """
+    if not text or not name:
+        return None
+    found = [(m[0].lower(), m.start(), m.end()) for m in _TOKEN.finditer(text)]
+    words = [w for w, _, _ in found]
+    starts = {i for i in range(len(words) - len(name) + 1) if words[i] == name[0] and words[i : i + len(name)] == name}
+    for i, (word, begin, end) in enumerate(found):
+        if not (word.isdecimal() and len(word) <= 2) or starts.isdisjoint(range(i + 1, i + 4)):
+            continue
+        gap = text[found[i - 1][2] if i else 0 : begin]
+        before = words[i - 1] if i else ""
+        announced = gap.endswith("#") or before in _ANNOUNCE and gap.strip(" .") == "" and (gap[:1].isspace() or before == "no")
+        lead = text[max(text.rfind("\n", 0, begin), text.rfind("\r", 0, begin)) + 1 : begin].strip()
+        listed = lead in ("", "#") and _LIST_SIGN.match(text, end)
+        if not announced and not listed:
+            continue
+        if _PAUSE.match(text[end + bool(listed) : found[i + 1][1]]):
+            for s in sorted(starts.intersection(range(i + 1, i + 4))):
+                if not re.search(r"[\r\n]", "".join(text[found[k][2] : found[k + 1][1]] for k in range(i + 1, s))):
+                    return int(word)
+    return None
+
+
+def ranks(text: Column, name: Column) -> Column:
+    """Column form of ``rank`` for a normalised name."""
+
+    @F.pandas_udf("int")
+    def found(texts: pd.Series, names: pd.Series) -> pd.Series:
+        return pd.Series([rank(t, (n or "").split()) for t, n in zip(texts, names)], dtype="Int32")
+
+    return found(text, name)
 
 
 def run_index(text: list[str], run: list[str]) -> int:
-    size = len(run)
-    return next((i for i in range(len(text) - size + 1) if text[i : i + size] == run), -1)
+    """Where ``run`` first stands in ``text``; -1 if nowhere."""
+    at, first, size = -1, run[0] if run else None, len(run)
+    while first is not None:
+        try:
+            at = text.index(first, at + 1)
+        except ValueError:
+            break
+        if text[at : at + size] == run:
+            return at
+    return -1
 
 
 @dataclass(frozen=True)
@@ -98,31 +158,37 @@ class Located:
     reason: str
 
 
+#: What a whole name, all of its tokens apart, a share of them, and the lack of a numbered one are worth.
 WHOLE, SCATTERED, PARTIAL, NO_DESIGNATOR = 1.0, 0.8, 0.6, 0.3
 
 
+def spellings(name: list[str]) -> list[tuple[str, list[str]]]:
+    """The ways to write a name, best first: as it is, in one word, or in its letters and digits."""
+    other = ("joined", ["".join(name)]) if len(name) > 1 else ("apart", re.findall(r"\d+|\D+", name[0]) if name else [])
+    return [("whole", name), *([other] if other[1] != name else [])]
+
+
 def locate(text: list[str], name: list[str], partial: bool) -> Located | None:
-    """Whole, as one token, or written apart; with ``partial`` also by the share of its tokens, numbered ones counting twice."""
+    """The first spelling that stands in the text; with ``partial`` else the share of its tokens that do, numbered ones twice."""
     if not text or not name:
         return None
-    words = frozenset(name)
-    if (at := run_index(text, name)) >= 0:
-        return Located(WHOLE, at, at + len(name) - 1, words, "model appears whole")
-    forms = ["".join(name)] if len(name) > 1 else re.findall(r"\d+|\D+", name[0])
-    if (len(name) > 1 or len(forms) > 1) and (at := run_index(text, forms)) >= 0:
-        how = "model appears as one token" if len(name) > 1 else f"model appears written apart ({' '.join(forms)})"
-        return Located(WHOLE, at, at + len(forms) - 1, words | set(forms), how)
-    spots = [text.index(t) if t in text else -1 for t in name]
-    hit = [s for s in spots if s >= 0]
-    if not partial or not hit:
+    for how, run in spellings(name):
+        if run and (at := run_index(text, run)) >= 0:
+            return Located(WHOLE, at, at + len(run) - 1, frozenset([*name, *run]), how)
+    if not partial:
         return None
-    lost = [t for t, s in zip(name, spots) if s < 0]
-    if not lost:
-        return Located(SCATTERED, min(hit), max(hit), words, "every model token present, not together")
-    worth = {t: 1 + any(c.isdecimal() for c in t) for t in name}
-    share = sum(worth[t] for t, s in zip(name, spots) if s >= 0) / sum(worth[t] for t in name)
-    base = PARTIAL * share * (NO_DESIGNATOR if any(worth[t] > 1 for t in lost) else 1)
-    return Located(base, min(hit), max(hit), words, f"missing model token(s) {lost}, recall {share:.2f}")
+    first = {t: i for i, t in reversed(list(enumerate(text)))}
+    worth = {t: 2 if any(c.isdecimal() for c in t) else 1 for t in name}
+    there = [t for t in name if t in first]
+    if not there:
+        return None
+    spots = [first[t] for t in there]
+    if len(there) == len(name):
+        return Located(SCATTERED, min(spots), max(spots), frozenset(name), "scattered")
+    share = sum(worth[t] for t in there) / sum(worth[t] for t in name)
+    lost = [t for t in name if t not in first]
+    value = PARTIAL * share * (NO_DESIGNATOR if max(worth[t] for t in lost) > 1 else 1)
+    return Located(value, min(spots), max(spots), frozenset(name), f"without {' '.join(lost)}, {share:.2f}")
 
 
 def touching(text: list[str], at: Located, vocabulary: set[str]) -> list[str]:
@@ -132,20 +198,36 @@ def touching(text: list[str], at: Located, vocabulary: set[str]) -> list[str]:
     return [t for t in dict.fromkeys(near) if t in vocabulary]
 
 
+class Sentences:
+    """A text's sentences with their tokens, normalised once for all that is asked about it."""
+
+    def __init__(self, text: str | None):
+        self.text = text or ""
+        self.parts = re.split(SENTENCE_END, self.text) if text is not None else []
+        self.tokens = [normalize(p).split() for p in self.parts]
+
+    def naming(self, name: list[str]) -> tuple[int, int]:
+        """The first sentence that holds the name, and where in it; -1 if none does."""
+        for i, own in enumerate(self.tokens):
+            if (at := run_index(own, name)) >= 0:
+                return i, at
+        return -1, -1
+
+    def excerpt(self, name: list[str], most: int) -> str:
+        """The sentence that names it, then the next and the one before while they fit; a cut ends in an ellipsis."""
+        at, _ = self.naming(name)
+        shown, size = [at], len(self.parts[at].strip()) if at >= 0 else 0
+        for beside in (at + 1, at - 1) if at >= 0 else ():
+            if 0 <= beside < len(self.parts) and size + 1 + len(self.parts[beside]) <= most:
+                size += 1 + len(self.parts[beside].strip())
+                shown.append(beside)
+        whole = " ".join(self.parts[i].strip() for i in sorted(shown)) if at >= 0 else self.text.strip()
+        if len(whole) <= most:
+            return whole
+        head = whole[:most]
+        space = head.rfind(" ")
+        return head[: space if space > most // 2 else most - 1].rstrip() + "…"
+
+
 def excerpt(text: str | None, name: list[str], most: int) -> str:
-    """The sentence that names it, then the next and the one before while they fit; a cut ends in an ellipsis."""
-    if text is None:
-        return ""
-    parts = re.split(SENTENCE_END, text)
-    at = next((i for i, p in enumerate(parts) if run_index(normalize(p).split(), name) >= 0), -1)
-    out = text.strip()
-    if at >= 0:
-        out = parts[at].strip()
-        if at + 1 < len(parts) and len(out) + len(parts[at + 1]) + 1 <= most:
-            out = f"{out} {parts[at + 1].strip()}"
-        if at and len(parts[at - 1]) + len(out) + 1 <= most:
-            out = f"{parts[at - 1].strip()} {out}"
-    if len(out) <= most:
-        return out
-    space = out.rfind(" ", 0, most)
-    return out[: space if space > most // 2 else most - 1].rstrip() + "…"
+    return Sentences(text).excerpt(name, most)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 LIKED, DISLIKED = 0.25, -0.25
@@ -38,11 +38,14 @@ def consensus(products: DataFrame, mentions: DataFrame, since: datetime) -> Data
         F.count_distinct("community").alias("communities"),
         pick(s > 0).alias("up"),
         pick(s < 0).alias("down"),
-        F.slice(F.reverse(F.array_sort(F.collect_set(newest))), 1, 2).alias("fresh"),
     )
-    whole = products.select("product_id").join(found, "product_id", "left")
+    # the two newest of each product: a limit that runs before the shuffle, so that a product's mentions never meet
+    order = Window.partitionBy("product_id").orderBy(F.desc("posted_at"), "mention_id")
+    fresh = heard.select("product_id", "posted_at", "mention_id").withColumn("n", F.row_number().over(order)).where("n <= 2")
+    fresh = fresh.groupBy("product_id").agg(F.array_sort(F.collect_list(F.struct("n", (-F.col("mention_id")).alias("id")))).alias("fresh"))
+    whole = products.select("product_id").join(found, "product_id", "left").join(fresh, "product_id", "left")
     ids = F.array_distinct(F.array_compact(F.array(-F.col("up.id"), -F.col("down.id"))))
-    rest = F.transform(F.coalesce("fresh", F.array().cast("array<struct<at:bigint,id:bigint>>")), lambda x: -x["id"])
+    rest = F.transform(F.coalesce("fresh", F.array().cast("array<struct<n:int,id:bigint>>")), lambda x: -x["id"])
     quotes = F.slice(F.array_distinct(F.concat(ids, rest)), 1, 2)
     counts = [F.coalesce(c, F.lit(0)).alias(c) for c in ("mention_count", "positive_count", "negative_count", "neutral_count", "communities")]
     return whole.select("product_id", "score", leaning(F.col("score")).alias("leaning"), *counts, "positive_share", quotes.alias("quote_mention_ids"))

@@ -6,8 +6,10 @@ retired). A key is an offer or a product. Windows are half-open: later than as_o
 
 from __future__ import annotations
 
-from datetime import date, datetime
+from datetime import date, datetime, timedelta
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,9 +36,20 @@ def trailing_year(observations: DataFrame, as_of: datetime) -> DataFrame:
 
 
 def insert_absent(rows: DataFrame, order: list[str]) -> DataFrame:
-    """The first row, by ``order``, of each (offer, instant): one map-side combine and one shuffle."""
+    """The first row, by ``order``, of each (offer, instant).
+
+    One or two whole numbers as the order (the second of 32 bits) become one decimal, so that rows of fixed width are combined by hash before the one
+    shuffle; ties in it may mix their rows' columns, so the order must be unique there. Any other order is a struct, for which Spark sorts.
+    """
     keys = ["offer_id", "observed_at"]
     rest = [c for c in rows.columns if c not in keys]
+    types = dict(rows.dtypes)
+    narrow = ("tinyint", "smallint", "int")
+    if len(order) <= 2 and types[order[0]] in (*narrow, "bigint") and types[order[-1]] in (*narrow, *["bigint"] * (len(order) == 1)):
+        wide = [F.col(c).cast("decimal(38,0)") for c in order]
+        place = wide[0] if len(order) == 1 else (wide[0] * F.lit(10**10).cast("decimal(11,0)") + wide[1]).cast("decimal(38,0)")
+        rows = rows.withColumn("__place", place)
+        return rows.groupBy(*keys).agg(*(F.min_by(c, "__place").alias(c) for c in rest)).select(*(c for c in rows.columns if c != "__place"))
     first = F.min_by(F.struct(*rest), F.struct(*order)).alias("first")
     return rows.groupBy(*keys).agg(first).select(*keys, "first.*").select(*rows.columns)
 
@@ -170,20 +183,54 @@ def daily_history(observations: DataFrame) -> DataFrame:
     return observations.groupBy("offer_id", day).agg(cheapest, F.bool_or("synthetic").alias("synthetic"), F.count("*").alias("observations"))
 
 
-def asof_grid(series: DataFrame, first: date, last: date) -> DataFrame:
-    """For each key and each day of the span: list price, least, median and greatest price and number of points of the year that
-    ends with that day's last microsecond.
+GRID = "key long, day date, current_price_cents int, current_in_stock boolean, current_offer_id long, list_price_cents int, min_365d int, median_365d int, max_365d int, percentile_365d double, sale_days_365d long, sale_windows_n long, last_sale_ended_at timestamp, observations_365d long, synthetic_365d long"
+
 
-    A point of day d is visible on days d to d + 364 exactly, so the range join is an explode over days, clipped to the span,
-    and an aggregation by (key, day).
+def asof_grid(observations: DataFrame, offers: DataFrame, first: date, last: date, days: int = 30) -> DataFrame:
+    """What the deal rule reads of each product's rollup, as of the last microsecond of each day of the span: columns as GRID.
+
+    A point of day d is visible on days d to d + 364 exactly. The span is dealt in stretches of ``days`` days, and a point goes to
+    the stretches that see it, fourteen at most, so neither a product's whole history nor a row for each point and day is ever
+    together. Days on which nothing of the year before is seen have no row.
     """
-    day = F.to_date("observed_at")
-    begin, end = F.greatest(day, F.lit(first)), F.least(F.date_add(day, 364), F.lit(last))
-    seen = series.where((day <= F.lit(last)) & (F.date_add(day, 364) >= F.lit(first))).withColumn("day", F.explode(F.sequence(begin, end)))
-    return seen.groupBy("key", "day").agg(
-        F.expr("mode() within group (order by price_cents desc)").alias("list_price_cents"),
-        F.min("price_cents").alias("min_365d"),
-        F.rint(F.expr("percentile_cont(0.5) within group (order by price_cents)")).cast("int").alias("median_365d"),
-        F.max("price_cents").alias("max_365d"),
-        F.count("*").alias("observations_365d"),
-    )
+    linked = offers.where(live()).select("offer_id", F.col("product_id").alias("key"))
+    number = F.datediff(F.to_date("observed_at"), F.lit(first))
+    size = (last - first).days + 1
+    points = observations.select("offer_id", "price_cents", "in_stock", "synthetic", F.unix_micros(F.col("observed_at").cast("timestamp")).alias("at"), number.alias("d"))
+    points = points.where((F.col("d") < size) & (F.col("d") > -365)).join(linked, "offer_id")
+    begin, end = F.floor(F.greatest("d", F.lit(0)) / days), F.floor(F.least(F.col("d") + 364, F.lit(size - 1)) / days)
+    dealt = points.withColumn("stretch", F.explode(F.sequence(begin, end)))
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(["at", "offer_id"])
+        at, d, offer, price, stock = (group[c].to_numpy() for c in ("at", "d", "offer_id", "price_cents", "in_stock"))
+        low = int(group.stretch.iloc[0]) * days
+        # the series: the cheapest price in stock of each instant
+        shown = group[group.in_stock].groupby("at", sort=True).agg(d=("d", "first"), price=("price_cents", "min"), made=("synthetic", "any"))
+        sd, sp, made, when = shown.d.to_numpy(), shown.price.to_numpy().astype(np.int64), shown.made.to_numpy(bool), shown.index.to_numpy()
+        out = []
+        for day in range(low, min(low + days, size)):
+            a, b = np.searchsorted(d, [day - 364, day + 1])
+            if a == b:
+                continue
+            _, back = np.unique(offer[a:b][::-1], return_index=True)
+            newest = b - 1 - back
+            best = newest[np.lexsort((offer[newest], -at[newest], price[newest], ~stock[newest].astype(bool)))[0]]
+            row = [first + timedelta(days=day), int(price[best]), bool(stock[best]), int(offer[best])]
+            x, y = np.searchsorted(sd, [day - 364, day + 1])
+            year = sp[x:y]
+            if x == y:
+                out.append((*row, None, None, None, None, None, 0, 0, None, 0, 0))
+                continue
+            value, count = np.unique(year, return_counts=True)
+            listed = int(value[len(value) - 1 - count[::-1].argmax()])
+            sale = year * 10 <= listed * 9
+            begins = sale & ~np.concatenate([[False], sale[:-1]])
+            fresh = np.concatenate([[True], sd[x + 1 : y] != sd[x : y - 1]])
+            ended = pd.Timestamp(int(when[x + np.flatnonzero(sale)[-1]]), unit="us") if sale.any() else None
+            out.append((*row, listed, int(year.min()), int(np.rint(np.median(year))), int(year.max()), float((year < price[best]).mean()), int((sale & (begins | fresh)).sum()), int(begins.sum()), ended, y - x, int(made[x:y].sum())))
+        made_ = pd.DataFrame(out, columns=[c.split()[0] for c in GRID.split(", ")[1:]], dtype=object)
+        made_.insert(0, "key", int(group.key.iloc[0]))
+        return made_
+
+    return dealt.groupBy("key", "stretch").applyInPandas(run, GRID)

@@ -24,17 +24,17 @@ def contains_spec(spec: Column, wanted: dict[str, str]) -> Column:
 
 
 def search(
-    products: DataFrame, offers: DataFrame, rollups: DataFrame, offer_rollups: DataFrame, signals: DataFrame | None, consensus: DataFrame, *, sort: str = "deal", low: int = 0, high: int = 1_000_000, in_stock_only: bool = True, spec: dict[str, str] | None = None, signal: str | None = None, limit: int = 50, offset: int = 0
+    products: DataFrame, offers: DataFrame, rollups: DataFrame, offer_rollups: DataFrame, signals: DataFrame | None, consensus: DataFrame, *, sort: str = "deal", low: int = 0, high: int | None = None, in_stock_only: bool = True, spec: dict[str, str] | None = None, signal: str | None = None, limit: int = 50, offset: int = 0
 ) -> DataFrame:
     """A row for each product with a matching live listing: the best one (in stock, cheapest, least id), and the unpaged total.
 
-    A listing's spec overlays its product's; price and spec filters apply to the listing.
+    A listing's spec overlays its product's; price and spec filters apply to the listing; prices have no upper bound unless asked for.
     ``signals`` is None where the rollups carry their signal.
     """
     if sort not in ORDERS or not 1 <= limit <= 200 or offset < 0:
         raise ValueError("sort must be known, limit within 1..200, offset not negative")
     price = offer_rollups.select("offer_id", F.col("current_price_cents").alias("price_cents"), F.col("current_in_stock").alias("in_stock"))
-    listed = offers.where(live()).select("offer_id", "product_id", F.col("spec").alias("offer_spec")).join(price.where(F.col("price_cents").between(low, high)), "offer_id")
+    listed = offers.where(live()).select("offer_id", "product_id", F.col("spec").alias("offer_spec")).join(price.where((F.col("price_cents") >= low) & (F.lit(True) if high is None else F.col("price_cents") <= high)), "offer_id")
     if in_stock_only:
         listed = listed.where("in_stock")
     if spec:

@@ -44,10 +44,16 @@ def retain(rows: DataFrame, at: str, since: datetime, subject: Column) -> DataFr
     return rows.where((F.col(at) >= F.lit(since)) | ~subject)
 
 
-def write_observations(observations: DataFrame, path: str) -> None:
-    """Appends by month, clustered by offer inside each file, so that time and offer bounds skip data."""
-    months = observations.withColumn("obs_month", F.date_format("observed_at", "yyyy_MM"))
-    months.repartition("obs_month", F.pmod(F.xxhash64("offer_id"), F.lit(16))).sortWithinPartitions("offer_id", "observed_at").write.mode("append").partitionBy("obs_month").parquet(path)
+def write_observations(observations: DataFrame, path: str, parts: int = 1, months: set[str] | None = None) -> None:
+    """Appends by month, clustered by offer inside each file, so that time and offer bounds skip data.
+
+    ``parts`` files a month, for months too large for one task. With ``months`` (yyyy_MM), a row of any other is an error.
+    """
+    month = F.date_format("observed_at", "yyyy_MM")
+    if months is not None:
+        month = F.when(month.isin(sorted(months)), month).otherwise(F.raise_error(F.concat(F.lit("no partition for month "), month)).cast("string"))
+    rows = observations.withColumn("obs_month", month)
+    rows.repartition("obs_month", F.pmod(F.xxhash64("offer_id"), F.lit(parts))).sortWithinPartitions("offer_id", "observed_at").write.mode("append").partitionBy("obs_month").parquet(path)
 
 
 def read_observations(spark, path: str, after: datetime | None = None, until: datetime | None = None) -> DataFrame:
@@ -58,3 +64,24 @@ def read_observations(spark, path: str, after: datetime | None = None, until: da
     if until is not None:
         rows = rows.where((F.col("obs_month") <= until.strftime("%Y_%m")) & (F.col("observed_at") <= F.lit(until)))
     return rows
+
+
+def fetch_audit(fetches: DataFrame, path: str) -> None:
+    """Appends the audit of fetches; rows are never changed."""
+    fetches.write.mode("append").parquet(path)
+
+
+def stored_bodies(bodies: DataFrame) -> DataFrame:
+    """``bodies`` (run_id, kind, body) as files by content: run_id, name (<run>/<sha256>.<kind>), body; equal bodies of a run once."""
+    digest = F.sha2(F.col("body").cast("binary"), 256)
+    return bodies.select("run_id", F.concat_ws("", F.col("run_id").cast("string"), F.lit("/"), digest, F.lit("."), "kind").alias("name"), "body").dropDuplicates(["name"])
+
+
+def cached_robots(cache: DataFrame, now: datetime, seconds: int) -> DataFrame:
+    """Entries no older than ``seconds``; older ones must be fetched again."""
+    return cache.where(F.col("fetched_at") + F.make_dt_interval(secs=F.lit(seconds)) >= F.lit(now))
+
+
+def put_robots(cache: DataFrame, fresh: DataFrame) -> DataFrame:
+    """``cache`` after ``fresh`` (domain, body, status, fetched_at) is put; no body holds a NUL."""
+    return upsert(cache, fresh.withColumn("body", F.translate("body", "\x00", "")), ["domain"])

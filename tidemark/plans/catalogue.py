@@ -26,7 +26,8 @@ def query(key: str, sql: str | None = None):
 
 
 def _year(s: SparkSession, d: str) -> DataFrame:
-    return prices.trailing_year(model.observations(s, d), AS_OF)
+    """The year's months only."""
+    return model.observations(s, d, AS_OF - timedelta(days=365), AS_OF)
 
 
 def _series(s, d):
@@ -73,12 +74,12 @@ def _flat(rollups: DataFrame) -> DataFrame:
 
 def product_rollups(s, d):
     keys = model.products(s, d).select(F.col("product_id").alias("key"))
-    return _flat(prices.rollup_products(model.observations(s, d), model.offers(s, d), keys, AS_OF))
+    return _flat(prices.rollup_products(_year(s, d), model.offers(s, d), keys, AS_OF))
 
 
 def offer_rollups(s, d):
     keys = model.offers(s, d).select(F.col("offer_id").alias("key"))
-    return _flat(prices.rollup_offers(model.observations(s, d), keys, AS_OF))
+    return _flat(prices.rollup_offers(_year(s, d), keys, AS_OF))
 
 
 query("D02_product_rollup", with_("products", "series", "current", **_PRODUCT) + "select * from rollups")(product_rollups)
@@ -98,12 +99,14 @@ def deal_query_raw(s: SparkSession, d: str) -> DataFrame:
     """Products in stock within a price range, cheapest against their own year first."""
     year = _year(s, d)
     linked = model.offers(s, d).where(prices.live()).select("offer_id", F.col("product_id").alias("key"))
-    cheapest = prices.latest(year).where("in_stock").join(linked, "offer_id").groupBy("key").agg(F.min("price_cents").alias("current_price_cents"))
+    newest = F.max_by("price_cents", F.when(F.col("in_stock"), F.col("observed_at"))), F.max(F.when(F.col("in_stock"), F.col("observed_at"))), F.max("observed_at")
+    each = year.groupBy("offer_id").agg(newest[0].alias("price_cents"), newest[1].alias("seen"), newest[2].alias("last"))
+    cheapest = each.where("seen = last").join(linked, "offer_id").groupBy("key").agg(F.min("price_cents").alias("current_price_cents")).where(F.col("current_price_cents").between(4000, 4800))
     series = prices.product_series(year, model.offers(s, d)).join(cheapest, "key")
     ranked = series.groupBy("key", "current_price_cents").agg(
         (F.count_if(F.col("price_cents") < F.col("current_price_cents")) / F.count("*")).alias("percentile_365d"), F.min("price_cents").alias("min_365d"), F.expr("percentile_cont(0.5) within group (order by price_cents)").alias("median_365d")
     )
-    rows = ranked.where(F.col("current_price_cents").between(4000, 4800)).withColumnRenamed("key", "product_id").join(model.products(s, d), "product_id")
+    rows = ranked.withColumnRenamed("key", "product_id").join(model.products(s, d), "product_id")
     return rows.orderBy("percentile_365d", "current_price_cents", "product_id").limit(20).select("product_id", "name", "current_price_cents", "percentile_365d", "min_365d", "median_365d")
 
 
@@ -155,12 +158,13 @@ def offer_signals(s, d):
 
 @query("D33_offer_history", with_("observations") + "select * from observations where offer_id = 1000001")
 def offer_history(s, d):
+    """The bound reaches the scan, whose files are clustered by offer."""
     return model.observations(s, d).where("offer_id = 1000001")
 
 
 @query("D33_offer_window_90d", with_("observations") + f"select * from observations where offer_id = 1000001 and observed_at > {AS_OF_SQL} - interval 90 day and observed_at <= {AS_OF_SQL}")
 def offer_window(s, d):
-    return model.observations(s, d).where((F.col("offer_id") == 1_000_001) & prices.within(F.col("observed_at"), F.lit(AS_OF), 90))
+    return model.observations(s, d, AS_OF - timedelta(days=90), AS_OF).where("offer_id = 1000001")
 
 
 @query(
@@ -266,28 +270,28 @@ def comment_parent(s, d):
 
 @query("K03_insert_absent", with_("observations") + "select * from observations")
 def absent(s, d):
-    return model.observations(s, d)
+    return prices.insert_absent(model.raw_observations(s, d), ["run_id", "line"])
 
 
 @query(
     "K05_upsert_counts",
-    "select case when o.doc_id is null then 'inserted' else 'refreshed' end as outcome, count(*) as n from (select doc_id from documents where doc_id % 3 < 2) n left join (select doc_id from documents where doc_id % 3 > 0) o using (doc_id) group by 1",
+    "select case when o.doc_id is null then 'inserted' else 'refreshed' end as outcome, count(*) as n from (select doc_id from documents) n left join (select doc_id from labels group by 1) o using (doc_id) group by 1",
 )
 def upsert_counts(s, d):
     docs = model.read(s, d, "documents").select("doc_id")
-    old = docs.where("doc_id % 3 > 0").withColumn("known", F.lit(True))
-    return docs.where("doc_id % 3 < 2").join(old, "doc_id", "left").groupBy(F.when(F.col("known").isNull(), "inserted").otherwise("refreshed").alias("outcome")).agg(F.count("*").alias("n"))
+    old = model.read(s, d, "labels").select("doc_id").distinct().withColumn("known", F.lit(True))
+    return docs.join(old, "doc_id", "left").groupBy(F.when(F.col("known").isNull(), "inserted").otherwise("refreshed").alias("outcome")).agg(F.count("*").alias("n"))
 
 
 @query(
     "K08_replace_machine_rows",
-    with_("mentions") + "select mention_id, product_id, sentiment, status from mentions where status = 'reviewed' union all select mention_id, product_id, 'neutral', 'auto' from mentions where mention_id % 2 = 0 and mention_id not in (select mention_id from mentions where status = 'reviewed')",
+    with_("mentions") + "select mention_id, product_id, sentiment, status from mentions where status = 'reviewed' union all select mention_id, product_id, 'neutral', 'auto' from mentions where community in ('de', 'en') and mention_id not in (select mention_id from mentions where status = 'reviewed')",
 )
 def replace_machine_rows(s, d):
     from tidemark.operators.sinks import replace_machine_rows as replace
 
     rows = model.mentions(s, d).select("mention_id", "product_id", "sentiment", "status")
-    made = rows.where("mention_id % 2 = 0").withColumn("sentiment", F.lit("neutral")).withColumn("status", F.lit("auto"))
+    made = model.mentions(s, d).where("community in ('de', 'en')").select(*rows.columns).withColumn("sentiment", F.lit("neutral")).withColumn("status", F.lit("auto"))
     return replace(rows, made, ["mention_id", "product_id"])
 
 
@@ -315,19 +319,19 @@ def nth_run(s, d):
     return model.read(s, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderdate").alias("started_at")).distinct().orderBy(F.desc("started_at")).offset(2).limit(1)
 
 
-@query("U01_union_touched", with_("observations", "offers") + "select offer_id from observations where run_id % 10 = 0 union select offer_id from offers where retired")
+@query("U01_union_touched", with_("observations", "offers") + "select offer_id from observations where not in_stock union select offer_id from offers where retired")
 def touched(s, d):
-    return model.observations(s, d).where("run_id % 10 = 0").select("offer_id").union(model.offers(s, d).where("retired").select("offer_id")).distinct()
+    return model.observations(s, d).where("not in_stock").select("offer_id").union(model.offers(s, d).where("retired").select("offer_id")).distinct()
 
 
-@query("U03_intersection", with_("observations", "offers") + "select offer_id from observations where run_id % 10 = 0 intersect select offer_id from offers where retired")
+@query("U03_intersection", with_("observations", "offers") + "select offer_id from observations where not in_stock intersect select offer_id from offers where retired")
 def both(s, d):
-    return model.observations(s, d).where("run_id % 10 = 0").select("offer_id").intersect(model.offers(s, d).where("retired").select("offer_id"))
+    return model.observations(s, d).where("not in_stock").select("offer_id").intersect(model.offers(s, d).where("retired").select("offer_id"))
 
 
-@query("U04_difference", with_("observations", "offers") + "select offer_id from offers except select offer_id from year_".replace("year_", "observations where run_id % 10 = 0"))
+@query("U04_difference", with_("observations", "offers") + "select offer_id from offers except select offer_id from year_".replace("year_", "observations where not in_stock"))
 def missing(s, d):
-    return model.offers(s, d).select("offer_id").distinct().join(model.observations(s, d).where("run_id % 10 = 0").select("offer_id"), "offer_id", "left_anti")
+    return model.offers(s, d).select("offer_id").distinct().join(model.observations(s, d).where("not in_stock").select("offer_id"), "offer_id", "left_anti")
 
 
 _CONSENSUS = """select p.product_id, c.score, case when c.score is null then 'unheard' when c.score >= 0.25 then 'liked' when c.score <= -0.25 then 'disliked' else 'mixed' end as leaning,
@@ -455,8 +459,8 @@ def confusion(s, d):
 
 @query(
     "J14_labels_join_and_skipped",
-    "select case when d.doc_id is null then 'skipped' else 'judged' end as outcome, count(*) as n from labels l left join (select doc_id from documents where doc_id % 5 > 0) d using (doc_id) group by 1",
+    "select case when d.doc_id is null then 'skipped' else 'judged' end as outcome, count(*) as n from labels l left join (select doc_id from documents where lang = 'en') d using (doc_id) group by 1",
 )
 def labels_join(s, d):
-    docs = model.read(s, d, "documents").where("doc_id % 5 > 0").select("doc_id", F.lit(True).alias("found"))
+    docs = model.read(s, d, "documents").where("lang = 'en'").select("doc_id", F.lit(True).alias("found"))
     return model.read(s, d, "labels").join(docs, "doc_id", "left").groupBy(F.when(F.col("found").isNull(), "skipped").otherwise("judged").alias("outcome")).agg(F.count("*").alias("n"))

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators.prices import insert_absent
+from tidemark.operators.sinks import read_observations, write_observations
+from tidemark.session import shared_dir
 
 AS_OF = datetime(2001, 6, 30)
 AS_OF_SQL = "timestamp '2001-06-30 00:00:00'"
-HISTORY_DAYS = 30
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,12 +36,36 @@ def raw_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return insert_absent(raw_observations(spark, sf_dir), ["run_id", "line"])
+#: Where each application has stored the facts of a folder of test tables.
+_STORED: dict[tuple[str, str], str] = {}
+#: Observations of a month that one task writes, about.
+MONTH_ROWS = 5_000_000
+
+
+def stored(spark: SparkSession, sf_dir: str) -> str:
+    """The folder of the fact table, by month and offer, and of the offers: the bulk load that queries run on, once for each application."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _STORED:
+        path = f"{shared_dir(spark)}/tidemark/{key[0]}/model-{uuid.uuid4().hex}"
+        raw = raw_observations(spark, sf_dir)
+        write_observations(insert_absent(raw, ["run_id", "line"]), f"{path}/observations", 1 + raw.count() // (80 * MONTH_ROWS))
+        _offers(raw).write.parquet(f"{path}/offers")
+        files = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        files.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(files)
+        _STORED[key] = path
+    return _STORED[key]
+
+
+def observations(spark: SparkSession, sf_dir: str, after: datetime | None = None, until: datetime | None = None) -> DataFrame:
+    return read_observations(spark, f"{stored(spark, sf_dir)}/observations", after, until).drop("obs_month")
 
 
 def offers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = raw_observations(spark, sf_dir).select("offer_id").distinct()
+    return spark.read.parquet(f"{stored(spark, sf_dir)}/offers")
+
+
+def _offers(raw: DataFrame) -> DataFrame:
+    own = raw.select("offer_id").distinct()
     supplier = F.col("offer_id") % 1_000_000
     return own.select(
         "offer_id",
@@ -63,7 +89,8 @@ def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     day = F.datediff(F.to_date("ts"), F.lit("2024-01-01").cast("date")).alias("day_idx")
     cents = F.round(F.col("value") * 100).cast("int")
     daily = event.groupBy(F.col("user_id").alias("product_id"), day).agg(F.min(F.when(F.col("event_type") != "error", cents)).alias("price_cents"))
-    return spine(daily, HISTORY_DAYS).withColumn("in_stock", F.col("price_cents").isNotNull())
+    last = daily.agg(F.max("day_idx")).first()[0]
+    return spine(daily, 1 + (last or 0)).withColumn("in_stock", F.col("price_cents").isNotNull())
 
 
 def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,8 +128,8 @@ SQL = {
     "offer_current": "select offer_id as key, price_cents, observed_at, in_stock, cast(null as bigint) as offer_id from newest",
     "daily": """select user_id as product_id, date_diff('day', date '2024-01-01', cast(ts as date)) as day_idx,
       min(case when event_type <> 'error' then cast(round(value * 100) as int) end) as price_cents from events group by 1, 2""",
-    "grid": f"""select p.product_id, d.day_idx, y.price_cents, y.price_cents is not null as in_stock
-      from (select distinct product_id from daily) p cross join (select unnest(range({HISTORY_DAYS})) as day_idx) d
+    "grid": """select p.product_id, d.day_idx, y.price_cents, y.price_cents is not null as in_stock
+      from (select distinct product_id from daily) p cross join (select unnest(range((select max(day_idx) + 1 from daily))) as day_idx) d
       left join daily y on y.product_id = p.product_id and y.day_idx = d.day_idx""",
     "mentions": """select doc_id as mention_id, doc_id % 25 + 1 as product_id, lang as community,
       case lang when 'en' then 1.0 when 'de' then 0.5 when 'fr' then 2.0 end as weight,

@@ -3,19 +3,20 @@
 from __future__ import annotations
 
 from datetime import date, timedelta
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
-from tidemark.operators import prices, resolve, serve
+from tidemark.operators import backtest, prices, resolve, serve
 from tidemark.operators.backfill import backfill, missing
-from tidemark.operators.backtest import by_reason
-from tidemark.operators.classifier import call, features, train
+from tidemark.operators.classifier import call, chronological, features, train
 from tidemark.plans import catalogue as base
 from tidemark.plans import model
 from tidemark.plans.catalogue import query
 from tidemark.plans.model import with_
+from tidemark.session import kept
 from tidemark.sources.specs import keyboard_spec
 
 #: A small catalog for the resolution queries: two brands of made-up names that the documents' words may hold.
@@ -28,16 +29,18 @@ PRODUCTS = [
 def _search_frames(s, d):
     products = model.products(s, d).select("product_id", "name", F.create_map(F.lit("kind"), F.when(F.col("product_id") % 2 == 0, "even").otherwise("odd")).alias("spec"))
     offers = model.offers(s, d).withColumn("spec", F.create_map(F.lit("retailer"), "retailer"))
-    rollups = base.deal_signals(s, d).withColumnRenamed("key", "product_id")
-    return products, offers, rollups, base.offer_rollups(s, d).withColumnRenamed("key", "offer_id"), None, base._consensus(s, d).select("product_id", "score", "mention_count")
+    rollups = base.product_rollups(s, d).withColumnRenamed("key", "product_id")
+    # some products have no signal row yet
+    signals = base.deal_signals(s, d).where("percentile_365d >= 0.3").select(F.col("key").alias("product_id"), "signal")
+    return products, offers, rollups, base.offer_rollups(s, d).withColumnRenamed("key", "offer_id"), signals, base._consensus(s, d).select("product_id", "score", "mention_count")
 
 
 _LIVE_OFFERS = f"""offers_hit as (select distinct on (o.product_id) o.product_id, o.offer_id, r.current_price_cents as price_cents, r.current_in_stock as in_stock from offers o join offer_rollups r on r.key = o.offer_id
-  where o.status in ('auto', 'reviewed') and not o.retired and r.current_price_cents is not null and (r.current_in_stock or not {{stock}}) and r.current_price_cents between {{low}} and {{high}} {{facet}}
+  where o.status in ('auto', 'reviewed') and not o.retired and r.current_price_cents is not null and (r.current_in_stock or not {{stock}}) and r.current_price_cents >= {{low}} {{high}} {{facet}}
   order by o.product_id, r.current_in_stock desc, r.current_price_cents, o.offer_id)"""
 
 
-def _search_sql(order: str, stock: str = "true", low: int = 0, high: int = 1_000_000, facet: str = "", signal: str = "", page: str = "limit 50") -> str:
+def _search_sql(order: str, stock: str = "true", low: int = 0, high: int | None = None, facet: str = "", signal: str = "", page: str = "limit 50") -> str:
     own = {k if k != "rollups" else "offer_rollups": v for k, v in base._OFFER.items()}
     # both grains in one statement: the offer chain under names of its own
     names = {"keys": "okeys", "listp": "olistp", "sales": "osales", "totals": "ototals", "measures": "omeasures"}
@@ -48,14 +51,14 @@ def _search_sql(order: str, stock: str = "true", low: int = 0, high: int = 1_000
             if v.endswith(f"from {a}"):
                 v = v[: -len(a)] + b
         chain[names.get(k, k)] = v
-    hit = _LIVE_OFFERS.format(stock=stock, low=low, high=high, facet=facet)
+    hit = _LIVE_OFFERS.format(stock=stock, low=low, high="" if high is None else f"and r.current_price_cents <= {high}", facet=facet)
     head = with_("products", "offers", "series", "current", "offer_series", "offer_current", "mentions", **base._PRODUCT, signals=base._SIGNAL, consensus=base._CONSENSUS, **chain)
     return (
         head.rstrip()
         + ", "
         + hit
         + f""" select *, count(*) over () as total from (select p.product_id, p.name, r.current_price_cents, r.percentile_365d, s.signal, c.score, c.mention_count, m.offer_id, m.price_cents, m.in_stock
-      from products p join rollups r on r.key = p.product_id left join signals s on s.key = p.product_id left join consensus c on c.product_id = p.product_id join offers_hit m on m.product_id = p.product_id {signal}) order by {order} {page}"""
+      from products p join rollups r on r.key = p.product_id left join (select s.* from signals s join rollups x on x.key = s.key where x.percentile_365d >= 0.3) s on s.key = p.product_id left join consensus c on c.product_id = p.product_id join offers_hit m on m.product_id = p.product_id {signal}) order by {order} {page}"""
     )
 
 
@@ -83,7 +86,7 @@ query("D30_deals", _search_sql("percentile_365d nulls last, price_cents, product
 def detail_offers(s, d):
     rolled = base.offer_rollups(s, d).select(F.col("key").alias("offer_id"), F.col("current_price_cents").alias("price_cents"), F.col("current_in_stock").alias("in_stock"))
     rows = model.offers(s, d).where(prices.live() & (F.col("product_id") == 7)).join(rolled, "offer_id")
-    place = F.row_number().over(Window.orderBy(F.desc_nulls_last("in_stock"), F.asc_nulls_last("price_cents"), "offer_id"))  # one product's offers
+    place = F.row_number().over(Window.partitionBy("product_id").orderBy(F.desc_nulls_last("in_stock"), F.asc_nulls_last("price_cents"), "offer_id"))
     return rows.select("offer_id", "retailer", "price_cents", "in_stock", place.alias("place"))
 
 
@@ -102,9 +105,9 @@ def split_alnum(s, d):
     return model.read(s, d, "part").select("p_partkey", F.array_join(T.letters_and_digits(F.replace(F.lower("p_brand"), F.lit("#"), F.lit(""))), " ").alias("parts"))
 
 
-@query("X09_X10_money", "select o_orderkey, cast(round(cast(cast(o_totalprice as decimal(20,2)) as decimal(20,6)) * 100, 0) as int) as cents, cast(round(cast(o_orderkey as decimal(20,6)) * 100, 0) as int) as found from orders where o_orderkey < 20000000")
+@query("X09_X10_money", "select o_orderkey, cast(round(cast(cast(o_totalprice as decimal(20,2)) as decimal(20,6)) * 100, 0) as bigint) as cents, o_orderkey * 100 as found from orders")
 def money(s, d):
-    rows = model.read(s, d, "orders").where("o_orderkey < 20000000")
+    rows = model.read(s, d, "orders")
     said = F.concat(F.lit("only $"), F.format_number("o_orderkey", 0), F.lit(" today"))
     return rows.select("o_orderkey", T.to_cents(F.col("o_totalprice").cast("decimal(20,2)").cast("string")).alias("cents"), T.cents_in(said).alias("found"))
 
@@ -127,21 +130,43 @@ def lines(s, d):
 
 @query(
     "J12_blocking",
-    "with l as (select doc_id, lang, trim(regexp_replace(lower(left(text, 400)), '[^\\p{L}\\p{Nd}]+', ' ', 'g')) as title from documents), b(brand, product_id) as (values ('de', 1), ('de', 2), ('the', 3), ('von', 4)) select doc_id as offer_id, product_id from l join b on brand = lang union all select doc_id, product_id from l join b on contains(' ' || title || ' ', ' ' || brand || ' ') where lang <> 'de'",
+    "with l as (select doc_id, lang, trim(regexp_replace(lower(text), '[^\\p{L}\\p{Nd}]+', ' ', 'g')) as title from documents), b(brand, product_id) as (values ('de', 1), ('de', 2), ('the', 3), ('von', 4)) select doc_id as offer_id, product_id from l join b on brand = lang union all select doc_id, product_id from l join b on contains(' ' || title || ' ', ' ' || brand || ' ') where lang <> 'de'",
 )
 def blocking(s, d):
-    listings = model.read(s, d, "documents").select(F.col("doc_id").alias("offer_id"), F.col("lang").alias("brand"), T.normalize_ascii(F.substring("text", 1, 400)).alias("title_norm"))
+    listings = model.read(s, d, "documents").select(F.col("doc_id").alias("offer_id"), F.col("lang").alias("brand"), T.normalize_ascii(F.col("text")).alias("title_norm"))
     catalog = s.createDataFrame([(1, "de"), (2, "de"), (3, "the"), (4, "von")], "product_id int, brand string")
     return resolve.block_pairs(listings, catalog)
 
 
 @query("D13_D14_resolve_listings")
 def resolved(s, d):
-    """Lines of documents as listing titles."""
-    rows = model.read(s, d, "documents").select(F.col("doc_id").alias("offer_id"), F.lit("the").alias("brand"), F.split("text", "\n")[0].alias("title"), F.create_map(F.lit("a"), F.lit("b")).alias("spec"))
+    """Every line of every document as a listing's title."""
+    lines = model.read(s, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "title"))
+    rows = lines.select((F.col("doc_id") * 100_000 + F.col("line")).alias("offer_id"), F.lit("the").alias("brand"), "title", F.create_map(F.lit("a"), F.lit("b")).alias("spec"))
     return resolve.resolve_listings(rows, PRODUCTS).withColumn("reasons", F.array_join("reasons", "; "))
 
 
+_FORMS = resolve.name_forms(PRODUCTS)
+_CLAIMS = f"""with t as (select doc_id, string_split(trim(regexp_replace(lower(text), '[^\\p{{L}}\\p{{Nd}}]+', ' ', 'g')), ' ') as t from documents),
+  forms(form, size, product_id, name, otherwise, words, digit) as (values {', '.join(f"('{f[0]}', {f[1]}, {f[2]}, {f[3]}, {f[4]}, {f[5]}, {str(f[6]).lower()})" for f in _FORMS)}),
+  dim(product_id, brand, siblings) as (values {', '.join(f"({p.product_id}, '{p.brand}', {sorted(resolve.Catalog(PRODUCTS).siblings[p.product_id])}::varchar[])" for p in PRODUCTS)}),
+  grams as (select doc_id, i, size, array_to_string(t[i:i + size - 1], ' ') as form, coalesce(t[i - 1], '') as l, coalesce(t[i + size], '') as r from (select doc_id, t, unnest(range(1, len(t) + 1)) as i from t) cross join (select distinct size from (select size from forms union all select 1)) where i + size - 1 <= len(t)),
+  hits as (select doc_id, product_id, name, f.otherwise, i, f.size, l, r, words, digit from grams g join forms f on f.form = g.form and f.size = g.size),
+  each as (select * from hits qualify row_number() over (partition by doc_id, product_id, name order by otherwise, i) = 1),
+  best as (select * from each qualify row_number() over (partition by doc_id, product_id order by size desc, name) = 1),
+  stated as (select distinct doc_id, form as brand from grams where size = 1),
+  known as (select b.*, brand, s.brand is not null as named, siblings from best b join dim using (product_id) left join stated s using (doc_id, brand))
+  select doc_id as mention_id, product_id, i - 1 as start, size, round(case when words = 1 and not named and not digit then 0 else greatest(0, 1 - 0.35 * least(len(list_intersect(list_distinct([l, r]), siblings)), 2)
+    - case when len(list_filter(list_distinct([l, r]), lambda w: w in ('the', 'von', 'que', 'les') and w <> brand)) > 0 then 0.35 else 0 end - case when words = 1 and not named then 0.2 else 0 end) end, 9) as score from known"""
+
+
+@query("D18_J13_claims", _CLAIMS)
+def found_claims(s, d):
+    """Every product that a text may mean, with its place and score."""
+    rows = model.read(s, d, "documents").select(F.col("doc_id").alias("mention_id"), T.normalize_ascii(F.coalesce("text", F.lit(""))).alias("norm"))
+    return resolve.claims(rows, PRODUCTS).select("mention_id", "product_id", F.col("start").cast("long").alias("start"), "size", F.round("score", 9).alias("score"))
+
+
 @query("D18_D20_mentions")
 def found_mentions(s, d):
     return resolve.find_mentions(model.read(s, d, "documents").select(F.col("doc_id").alias("mention_id"), "text"), PRODUCTS)
@@ -154,28 +179,62 @@ def html_links(s, d):
     return links(model.read(s, d, "pages"))
 
 
-@query(
-    "J15_asof_grid",
-    with_("products", "observations", "linked")
-    + """, points as (select product_id as key, observed_at, min(price_cents) as price_cents from observations join linked using (offer_id) where in_stock group by 1, 2),
-    days as (select cast(unnest(range(date '2001-06-20', date '2001-07-01', interval 1 day)) as date) as day),
-    seen as (select p.key, d.day, p.price_cents from points p join days d on p.observed_at > d.day + interval 1 day - interval 1 microsecond - interval 365 day and p.observed_at <= d.day + interval 1 day - interval 1 microsecond),
-    listed as (select key, day, price_cents from (select key, day, price_cents, row_number() over (partition by key, day order by count(*) desc, price_cents desc) as rn from seen group by 1, 2, 3) where rn = 1)
-    select s.key, s.day, max(l.price_cents) as list_price_cents, min(s.price_cents) as min_365d, cast(round_even(quantile_cont(s.price_cents, 0.5), 0) as int) as median_365d, max(s.price_cents) as max_365d, count(*) as observations_365d from seen s join listed l on l.key = s.key and l.day = s.day group by 1, 2""",
-)
+#: The rule's inputs of every product on every day, by joins of points with the days that see them.
+_ASOF = """, span as (select min(cast(observed_at as date)) as a, max(cast(observed_at as date)) as z from observations),
+    pts as (select product_id as key, offer_id, observed_at, price_cents, in_stock, synthetic, date_diff('day', (select a from span), cast(observed_at as date)) as d from observations join linked using (offer_id)),
+    days as (select unnest(range((select date_diff('day', a, z) + 1 from span))) as n),
+    stretches as (select *, least(coalesce(lead(d) over (partition by offer_id order by observed_at) - 1, d + 364), d + 364) as e from pts),
+    now as (select key, n, min_by(struct_pack(p := price_cents, s := in_stock, o := offer_id), (case when in_stock then 0 else 1 end, price_cents, -epoch_us(observed_at), offer_id)) as c from stretches join days on n between d and e group by 1, 2),
+    points as (select key, observed_at, d, min(price_cents) as price_cents, bool_or(synthetic) as synthetic from pts where in_stock group by 1, 2, 3),
+    seen as (select key, n, observed_at, price_cents, synthetic from points join days on n between d and d + 364),
+    listed as (select key, n, price_cents as list_price_cents from (select key, n, price_cents, row_number() over (partition by key, n order by count(*) desc, price_cents desc) as rn from seen group by 1, 2, 3) where rn = 1),
+    flagged as (select *, price_cents * 10 <= list_price_cents * 9 as sale, lag(price_cents * 10 <= list_price_cents * 9, 1, false) over w as before, lag(cast(observed_at as date)) over w as day_before from seen join listed using (key, n) window w as (partition by key, n order by observed_at)),
+    yearly as (select key, n, max(list_price_cents) as list_price_cents, min(price_cents) as min_365d, cast(round_even(quantile_cont(price_cents, 0.5), 0) as int) as median_365d, max(price_cents) as max_365d, cast(count(*) filter (where price_cents < now.c.p) as double) / count(*) as percentile_365d,
+      count(*) filter (where sale and (not before or cast(observed_at as date) <> day_before)) as sale_days_365d, count(*) filter (where sale and not before) as sale_windows_n, max(observed_at) filter (where sale) as last_sale_ended_at, count(*) as observations_365d, count(*) filter (where synthetic) as synthetic_365d
+      from flagged join now using (key, n) group by 1, 2),
+    grid as (select key, n, c.p as current_price_cents, c.s as current_in_stock, c.o as current_offer_id, list_price_cents, min_365d, median_365d, max_365d, percentile_365d, coalesce(sale_days_365d, 0) as sale_days_365d, coalesce(sale_windows_n, 0) as sale_windows_n, last_sale_ended_at, coalesce(observations_365d, 0) as observations_365d, coalesce(synthetic_365d, 0) as synthetic_365d from now left join yearly using (key, n))"""
+
+
+def _span(s, d):
+    row = model.observations(s, d).agg(F.to_date(F.min("observed_at")).alias("a"), F.to_date(F.max("observed_at")).alias("z")).first()
+    return (row.a, row.z) if row.a else (date(1970, 1, 1), date(1970, 1, 1))
+
+
+def _asof(s, d):
+    return prices.asof_grid(model.observations(s, d), model.offers(s, d), *_span(s, d))
+
+
+@query("D07_J15_asof_grid", with_("observations", "linked") + _ASOF + " select * exclude (n), cast((select a from span) + n * interval 1 day as date) as day from grid")
 def asof_grid(s, d):
-    return prices.asof_grid(prices.product_series(model.observations(s, d), model.offers(s, d)), date(2001, 6, 20), date(2001, 6, 30))
+    """Every product on every day from the first observation to the last."""
+    return _asof(s, d)
 
 
-@query(
-    "A20_by_reason",
-    with_("offers", "offer_series", "offer_current", **base._OFFER, signals=base._SIGNAL)
-    + "select code, count(*) filter (where signal = 'buy') as buys, count(*) filter (where signal = 'wait') as waits, count(*) filter (where signal = 'neutral') as neutrals, count(*) filter (where (signal = 'buy' and key % 3 > 0) or (signal = 'wait' and key % 3 = 0)) as hits from (select key, signal, unnest(string_split(reason_codes, ',')) as code from signals) group by 1",
-)
+def _rule_days(s, d):
+    first, last = _span(s, d)
+    return kept(backtest.rule_days(_asof(s, d), first, (last - first).days + 1), "days")
+
+
+@query("D08_report")
+def report(s, d):
+    """All tallies of the backtest of the deal rule against both baselines: 30 days ahead, 2 %, 90 days of warm-up."""
+    tables = backtest.report(_rule_days(s, d))
+    tables = {k: tables[k] for k in ("headline", "rule_days", "by_horizon", "by_tolerance", "sweeps", "products")}
+    names = {"headline": ["strategy"], "rule_days": ["strategy"], "by_horizon": ["horizon", "strategy"], "by_tolerance": ["tolerance", "strategy"], "sweeps": ["sweep", "threshold"], "products": ["product_id", "strategy"]}
+    shown = ["days", "drops", "buys", "waits", "neutrals", "hits", "buy_hits", "wait_hits"]
+    rows = [t.select(F.lit(k).alias("section"), F.concat_ws(" ", *names[k]).alias("of"), *shown) for k, t in tables.items()]
+    return reduce(DataFrame.unionByName, rows)
+
+
+@query("A20_D08_by_reason")
 def reasons(s, d):
-    """Offers' calls, with a made-up outcome that follows from their ids."""
-    rows = base.signals.decide(base.offer_rollups(s, d), windows=F.col("sale_count"))
-    return by_reason(rows.withColumn("call", F.col("signal")).withColumn("dropped", F.col("key") % 3 == 0))
+    """How the rule's calls fared, by the reasons that they carry."""
+    return backtest.report(_rule_days(s, d))["reasons"]
+
+
+@query("A19_D08_policies")
+def rule_policies(s, d):
+    return backtest.report(_rule_days(s, d))["policies"].withColumn("mean_ratio", F.round("mean_ratio", 9))
 
 
 @query(
@@ -194,12 +253,22 @@ def backfilled(s, d):
     return backfill(missing(seen), earliest - timedelta(days=365), 365, 20251129)
 
 
-@query("D10_D11_classifier")
+@query("D10_D12_classifier")
 def classified(s, d):
-    """Offers' rollups as examples, with an outcome that follows from their ids; probability and call of each."""
-    rows = features(base.offer_rollups(s, d).withColumn("as_of", F.lit(model.AS_OF)), F.col("sale_count"), 1).withColumn("dropped", F.col("key") % 3 == 0)
-    scored = train(rows)(rows)
-    return scored.select("key", F.round("probability", 6).alias("probability"), call(F.col("probability"), 0.3, 0.4).alias("call"))
+    """The trained alternative: learned on days whose horizon ends in the first three fifths, held out on the rest, against the rule there."""
+    first, last = _span(s, d)
+    days = (last - first).days + 1
+    grid = _rule_days(s, d).withColumn("as_of", F.timestamp_micros(F.unix_micros(F.date_add(F.lit(first), F.col("day_idx") + 1).cast("timestamp")) - 1))
+    rows = kept(features(backtest.scored(backtest.ahead(grid, backtest.HORIZON, backtest.TOLERANCE), backtest.WARMUP), F.col("sale_windows_n")), "examples")
+    cut = days * 3 // 5
+    learned, held = chronological(rows, "day_idx", cut, backtest.HORIZON)
+    if learned.select("dropped").distinct().count() < 2:
+        return backtest.tally(held.limit(0).withColumn("strategy", F.lit("")).withColumn("call", F.lit("")), ["strategy"]).select("strategy", "days", "drops", "buys", "waits", "neutrals", "hits")
+    judged = train(learned)(held)
+    calls = {"model": call(F.col("probability"), 0.5, 0.5), "abstaining": call(F.col("probability"), 0.35, 0.65), "rule": F.coalesce("signal", F.lit("neutral"))}
+    each = F.array(*(F.struct(F.lit(k).alias("strategy"), v.alias("call")) for k, v in calls.items()))
+    made = judged.withColumn("__c", F.explode(each)).select("dropped", "__c.*")
+    return backtest.tally(made, ["strategy"]).select("strategy", "days", "drops", "buys", "waits", "neutrals", "hits")
 
 
 @query("X20_keyboard_spec")

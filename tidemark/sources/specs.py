@@ -36,6 +36,7 @@ def keyboard_spec(text: Column) -> Column:
         .when(tooth, "bluetooth")
         .when(wired & ~_any(text, "wireless"), "wired")
     )
+    # a fixed value: how listings state the number of keys
     keys = F.regexp_extract(text, r"\b(\d{2,3})\s*(?:key|keys|key layout)\b", 1)
     fields = {
         "layout_size": phrase_value(text, LAYOUTS),
@@ -49,3 +50,92 @@ def keyboard_spec(text: Column) -> Column:
     }
     whole = F.create_map(*(x for k, v in fields.items() for x in (F.lit(k), v)))
     return F.map_filter(whole, lambda _, v: v.isNotNull())
+
+
+#: Phrases of a monitor's fields and what they mean; of phrases of one length the first that stands counts.
+PANELS = {"qd oled": "qd-oled", "qdoled": "qd-oled", "oled": "oled", "mini led": "mini-led", "miniled": "mini-led", "ips black": "ips", "nano ips": "ips", "fast ips": "ips", "fast va": "va", "ips": "ips", "va": "va", "tn": "tn"}
+HDR = {"displayhdr 1000": "hdr1000", "displayhdr 600": "hdr600", "displayhdr 400": "hdr400", "true black 500": "true-black-500", "true black 400": "true-black-400", "hdr1400": "hdr1400", "hdr 1400": "hdr1400", "hdr1000": "hdr1000", "hdr 1000": "hdr1000", "hdr600": "hdr600", "hdr 600": "hdr600", "hdr500": "hdr500", "hdr 500": "hdr500", "hdr400": "hdr400", "hdr 400": "hdr400", "hdr10": "hdr10", "hdr 10": "hdr10"}
+ASPECTS = {"16 10": "16:10", "32 9": "32:9", "21 9": "21:9", "16 9": "16:9"}
+WIDE = ("ultrawide", "ultra wide")
+RESOLUTIONS = {
+    "dual-4k": ("dual uhd", "dual 4k", "duhd", "7680 x 2160", "7680x2160"),
+    "dual-1440p": ("dual qhd", "dqhd", "dual 1440p", "5120 x 1440", "5120x1440", "dual wqhd", "dual quad hd"),
+    "ultrawide-5k2k": ("5k2k", "5120 x 2160", "5120x2160", "wuhd"),
+    "6k": ("6k",),
+    "5k": ("5k", "5120 x 2880", "5120x2880"),
+    "ultrawide-1440p": ("3440 x 1440", "3440x1440", "uwqhd", "uw qhd", "ultra wqhd", "ultrawide qhd", "ultrawide quad hd", "ultrawide wqhd", "ultra wide qhd", "uw5k"),
+    "ultrawide-1080p": ("2560 x 1080", "2560x1080", "uwfhd", "uw fhd", "ultrawide fhd", "ultrawide full hd", "ultra wide fhd"),
+    "4k": ("4k", "uhd", "2160p", "3840 x 2160", "3840x2160", "ultra hd"),
+    "1440p": ("qhd", "1440p", "2560 x 1440", "2560x1440", "2k", "quad hd"),
+    "1080p": ("fhd", "1080p", "full hd", "1920 x 1080", "1920x1080"),
+}
+#: How titles and tags state a size, a refresh rate and a curvature.
+SIZE_IN_TITLE = r"(?<![\d.])(\d{2}(?:\.\d)?)\s*(?:[\"\u2033\u201d]|-?\s?[Ii]nch(?:es)?\b|-?\s?[Ii]n\b)"
+SIZE_TAG = r"^(?:screen size:? )?(\d{2}(?:\.\d)?)(?: ?(?:inch|in))?$"
+RATE_IN_TITLE, RATE_TAG, RADIUS = r"(?<![\d.])(\d{2,3}) ?hz\b", r"^(?:refresh rate )?(\d{2,3}) ?hz(?: refresh(?: rate)?)?$", r"\b\d{3,4}r\b"
+
+
+def resolution(text: Column) -> Column:
+    """The native resolution that a normalised text names. Names of double and wide panels come before those of their halves."""
+    named = {k: _any(text, *v) for k, v in RESOLUTIONS.items()}
+    wide = _any(text, *WIDE, "21 9", "uwqhd", "uw qhd")
+    quad, full = named["1440p"], named["1080p"]
+    return (
+        F.when(named["dual-4k"], "dual-4k")
+        .when(named["dual-1440p"], "dual-1440p")
+        .when(named["ultrawide-5k2k"], "ultrawide-5k2k")
+        .when(named["6k"], "6k")
+        .when(named["5k"], F.when(wide, "ultrawide-5k2k").otherwise("5k"))
+        .when(named["ultrawide-1440p"], "ultrawide-1440p")
+        .when(named["ultrawide-1080p"], "ultrawide-1080p")
+        .when(wide & (quad | _any(text, "wqhd")) & ~full, "ultrawide-1440p")
+        .when(wide & full & ~quad, "ultrawide-1080p")
+        .when(named["4k"], "4k")
+        .when(quad, "1440p")
+        .when(full, "1080p")
+    )
+
+
+def _between(value: Column, low: float, high: float) -> Column:
+    return F.when(value.between(low, high), value)
+
+
+def monitor_spec(title: Column, tags: Column, normal) -> Column:
+    """Fields of a monitor from its title and tags (an array), as text values; absent fields are absent.
+
+    ``normal`` makes the normal form of a text column. Sizes are read from the title as it stands, where the inch sign is left.
+    """
+    plain, tags = normal(F.coalesce(title, F.lit(""))), F.coalesce(tags, F.array().cast("array<string>"))
+    tag_norms = F.transform(tags, lambda t: normal(F.coalesce(t, F.lit(""))))
+    text = F.concat_ws(" ", plain, F.array_join(tag_norms, " "))
+    sharp = resolution(text)
+    stated = phrase_value(text, ASPECTS)
+    shape = F.coalesce(stated, F.when(sharp.startswith("ultrawide-"), "21:9").when(sharp.startswith("dual-"), "32:9").when(_any(text, *WIDE), "21:9"))
+    number = lambda c, kind: F.transform(c, lambda x: x.try_cast(kind))
+    in_title = F.array_max(number(F.regexp_extract_all(plain, F.lit(RATE_IN_TITLE), 1), "long"))
+    in_tags = F.array_max(number(F.transform(tag_norms, lambda t: F.regexp_extract(t, RATE_TAG, 1)), "long"))
+    sizes = F.concat(F.regexp_extract_all(F.coalesce(title, F.lit("")), F.lit(SIZE_IN_TITLE), 1), F.transform(tags, lambda t: F.regexp_extract(F.lower(F.trim(t)), SIZE_TAG, 1)))
+    fits = F.filter(number(sizes, "double"), lambda x: x.between(10, 100))
+    bent, flat = _any(text, "curved") | text.rlike(RADIUS), _any(text, "flat")
+    fields = {
+        "panel_type": phrase_value(text, PANELS),
+        "resolution": sharp,
+        "aspect_ratio": shape,
+        "refresh_hz": _between(F.coalesce(in_title, in_tags), 30, 1000).cast("string"),
+        "size_in": F.get(fits, 0).cast("string"),
+        "curved": F.when(bent & ~flat, "true").when(flat & ~bent, "false"),
+        "hdr": phrase_value(text, HDR),
+        "usb_c": F.when(_any(text, "usb c", "type c", "thunderbolt"), "true"),
+        "speakers": F.when(_any(text, "speaker", "speakers"), "true"),
+    }
+    whole = F.create_map(*(x for k, v in fields.items() for x in (F.lit(k), v)))
+    return F.map_filter(whole, lambda _, v: v.isNotNull())
+
+
+def spec_of(category: str, title: Column, tags: Column, normal) -> Column:
+    """The specification by the category's own extractor; an unknown category is an error."""
+    if category == "keyboards":
+        return keyboard_spec(F.concat_ws(" ", normal(F.coalesce(title, F.lit(""))), normal(F.array_join(F.coalesce(tags, F.array().cast("array<string>")), " "))))
+    if category == "monitors":
+        return monitor_spec(title, tags, normal)
+    raise KeyError(f"no extractor for {category}")
