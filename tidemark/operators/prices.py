@@ -233,4 +233,6 @@ def asof_grid(observations: DataFrame, offers: DataFrame, first: date, last: dat
         made_.insert(0, "key", int(group.key.iloc[0]))
         return made_
 
-    return dealt.groupBy("key", "stretch").applyInPandas(run, GRID)
+    # few bytes but much work a group: partitions are not to be put together by their size
+    parts = int(observations.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return dealt.repartition(parts, "key", "stretch").groupBy("key", "stretch").applyInPandas(run, GRID)

@@ -153,6 +153,11 @@ def block_pairs(listings: DataFrame, catalog: DataFrame) -> DataFrame:
     return known.unionByName(named.select("offer_id", "brand").join(catalog.select("product_id", "brand"), "brand").select("offer_id", "product_id"))
 
 
+def _spread(rows: DataFrame, key: str) -> DataFrame:
+    """In as many partitions as shuffles have: few bytes, but much work a row for Python, so they are not to be put together by size."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def catalog_rows(spark: SparkSession, products: list[Product]) -> DataFrame:
     """The catalog as rows: product_id, brand, model, aliases, spec, siblings (tokens of its brand's other models)."""
     known = Catalog(products)
@@ -167,7 +172,7 @@ def resolve_listings(listings: DataFrame, products: list[Product], identity: tup
     """
     catalog = catalog_rows(listings.sparkSession, products)
     rows = listings.select("offer_id", normalized(F.coalesce("brand", F.lit(""))).alias("brand"), normalized(F.coalesce("title", F.lit(""))).alias("title_norm"), F.col("spec").alias("own"))
-    pairs = block_pairs(rows, catalog).join(rows.drop("brand"), "offer_id").join(catalog, "product_id")
+    pairs = _spread(block_pairs(rows, catalog).join(rows.drop("brand"), "offer_id").join(catalog, "product_id"), "offer_id")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
@@ -267,4 +272,4 @@ def find_mentions(texts: DataFrame, products: list[Product], lexicon: Lexicon =
             yield pd.DataFrame(out, columns=names)
 
     schema = "mention_id long, product_id long, score double, phrase string, sentiment string, sentiment_score double, excerpt string"
-    return hit.mapInPandas(run, schema).withColumn("outcome", outcome(F.col("score")))
+    return _spread(hit, "mention_id").mapInPandas(run, schema).withColumn("outcome", outcome(F.col("score")))

@@ -215,14 +215,51 @@ def _rule_days(s, d):
     return kept(backtest.rule_days(_asof(s, d), first, (last - first).days + 1), "days")
 
 
-@query("D08_report")
+def _rule_sql(buy: float = 0.2, wait: float = 0.5, windows: int = 1) -> str:
+    sale, low = "current_price_cents * 10 <= list_price_cents * 9", "current_price_cents <= min_365d * 1.05::double"
+    return f"""case when current_price_cents is null or not coalesce(current_in_stock, false) or observations_365d < 30 then 'neutral' when {sale} and ({low} or percentile_365d <= {buy}) then 'buy'
+      when sale_days_365d > 0 and sale_windows_n >= {windows} and (not {sale} or percentile_365d >= {wait}) then 'wait' else 'neutral' end"""
+
+
+def _judged_sql(h: int, tolerance: float) -> str:
+    return f"""select *, case when buyable is not null and day_idx + {h} <= max(day_idx) over (partition by product_id) and least is not null then least < buyable and buyable - least >= {tolerance}::double * buyable end as dropped
+      from (select *, min(buyable) over (partition by product_id order by day_idx rows between 1 following and {h} following) as least from dense)"""
+
+
+_DENSE = f""", dense as (select *, median(buyable) over (partition by product_id order by day_idx rows between 364 preceding and current row) as median_cents, {_rule_sql()} as signal from (
+    select p.key as product_id, days.n as day_idx, grid.* exclude (key, n), case when current_in_stock then current_price_cents end as buyable from (select distinct key from now) p cross join days left join grid on grid.key = p.key and grid.n = days.n))"""
+_BOTH = "unnest([struct_pack(s := 'always_buy', c := 'buy'), struct_pack(s := 'below_median', c := case when median_cents is null then 'neutral' when buyable < median_cents then 'buy' else 'wait' end), struct_pack(s := 'rule', c := signal)]) as x"
+
+
+def _section(name: str, of: str, source: str, calls: str = _BOTH, cond: str = "true") -> str:
+    return f"select '{name}' as section, {of} as of_, {base._TALLY} from (select *, x.s as strategy, x.c as call from (select *, {calls} from ({source}) where day_idx >= 90 and dropped is not null)) where {cond} group by 2"
+
+
+def _sweep_calls() -> str:
+    points = [("buy", b, b, 0.5, 1) for b in backtest.BUY_SWEEP if b < 0.5] + [("wait", w, 0.2, w, 1) for w in backtest.WAIT_SWEEP if w > 0.2] + [("windows", float(n), 0.2, 0.5, n) for n in backtest.WINDOW_SWEEP]
+    return "unnest([" + ", ".join(f"struct_pack(s := '{a} {t}', c := {_rule_sql(b, w, n)})" for a, t, b, w, n in points) + "]) as x"
+
+
+_REPORT = " union all ".join(
+    [
+        _section("headline", "strategy", _judged_sql(30, 0.02)),
+        _section("rule_days", "strategy", _judged_sql(30, 0.02), cond="signal <> 'neutral' and strategy <> 'rule'"),
+        *(_section("by_horizon", f"'{h} ' || strategy", _judged_sql(h, 0.02)) for h in backtest.HORIZONS),
+        *(_section("by_tolerance", f"'{t} ' || strategy", _judged_sql(30, t)) for t in backtest.TOLERANCES),
+        _section("sweeps", "strategy", _judged_sql(30, 0.02), _sweep_calls()),
+        _section("products", "product_id || ' ' || strategy", _judged_sql(30, 0.02)),
+    ]
+)
+
+
+@query("D08_A18_A21_A22_report", with_("observations", "linked") + _ASOF + _DENSE + _REPORT)
 def report(s, d):
     """All tallies of the backtest of the deal rule against both baselines: 30 days ahead, 2 %, 90 days of warm-up."""
     tables = backtest.report(_rule_days(s, d))
     tables = {k: tables[k] for k in ("headline", "rule_days", "by_horizon", "by_tolerance", "sweeps", "products")}
     names = {"headline": ["strategy"], "rule_days": ["strategy"], "by_horizon": ["horizon", "strategy"], "by_tolerance": ["tolerance", "strategy"], "sweeps": ["sweep", "threshold"], "products": ["product_id", "strategy"]}
     shown = ["days", "drops", "buys", "waits", "neutrals", "hits", "buy_hits", "wait_hits"]
-    rows = [t.select(F.lit(k).alias("section"), F.concat_ws(" ", *names[k]).alias("of"), *shown) for k, t in tables.items()]
+    rows = [t.select(F.lit(k).alias("section"), F.concat_ws(" ", *names[k]).alias("of_"), *shown) for k, t in tables.items()]
     return reduce(DataFrame.unionByName, rows)
 
 
