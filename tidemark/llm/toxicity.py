@@ -7,6 +7,7 @@ of states, made as words lead to them, that reads all words of many texts at the
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator
 
@@ -186,13 +187,25 @@ def _fit(x: np.ndarray, y: np.ndarray, rounds: int = 40, ridge: float = 1.0) ->
     return w
 
 
+@functools.lru_cache(maxsize=2)
+def _automaton(terms: tuple[str, ...]) -> tuple[Automaton, np.ndarray]:
+    """One for each Python worker, whose states outlive a task; and its columns of the code points."""
+    automaton = Automaton(list(terms))
+    return automaton, automaton.letters()
+
+
 class Model:
+    """Terms with their weights, and the regression's coefficients."""
+
     def __init__(self, terms: list[str], weights: list[float], coefficients: np.ndarray):
-        self.automaton, self.weights, self.coefficients = Automaton(terms), np.array(weights), coefficients
+        self.terms, self.weights, self.coefficients = tuple(terms), np.array(weights), coefficients
+
+    def features(self, column: pa.Array) -> np.ndarray:
+        automaton, letters = _automaton(self.terms)
+        return features(automaton, self.weights, letters, column)
 
-    def score(self, letters: np.ndarray, column: pa.Array) -> np.ndarray:
-        x = features(self.automaton, self.weights, letters, column)
-        return 1 / (1 + np.exp(-np.clip(self.coefficients[0] + x @ self.coefficients[1:], -30, 30)))
+    def score(self, column: pa.Array) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.coefficients[0] + self.features(column) @ self.coefficients[1:], -30, 30)))
 
 
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | None:
@@ -231,14 +244,13 @@ def _mapped(docs: DataFrame, keep: list[str], model: Model, made: str, raw: bool
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        letters = model.automaton.letters()
         for batch in batches:
             for part in slices(batch):
                 if raw:
-                    new = [pa.array(features(model.automaton, model.weights, letters, part.column("text")).tolist(), pa.list_(pa.float64()))]
+                    new = [pa.array(model.features(part.column("text")).tolist(), pa.list_(pa.float64()))]
                     yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), *new], [*keep, "x"])
                 else:
-                    new = [pa.array(model.score(letters, part.column("text")), pa.float64())]
+                    new = [pa.array(model.score(part.column("text")), pa.float64())]
                     yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), *new], [*keep, "score"])
 
     return docs.select(*keep, "text").mapInArrow(run, f"{fields}, {made}")
