@@ -5,7 +5,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import control, prices, sinks
+from tidemark.operators import control, prices, serve, sinks
 from tidemark.sources import config
 from tidemark.streaming import observations as streaming
 
@@ -62,3 +62,9 @@ def test_streams(spark, tmp_path):
     stream.writeStream.format("memory").queryName("seen").trigger(availableNow=True).start().awaitTermination()
     assert spark.table("seen").count() == 4
     assert streaming.recent(whole, "observed_at", 6, NOW).count() == 2
+
+
+def test_laid_over_with_repeated_keys(spark):
+    rows = spark.sql("select map('a', '1', 'b', '2') as under, map('b', '3', 'c', '4') as top union all select map(), map('x', '1') union all select map('x', '1'), map()")
+    assert spark.conf.get("spark.sql.mapKeyDedupPolicy") == "EXCEPTION"
+    assert [r[0] for r in rows.select(serve.laid_over(F.col("top"), F.col("under"))).collect()] == [{"a": "1", "b": "3", "c": "4"}, {"x": "1"}, {"x": "1"}]

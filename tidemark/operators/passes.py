@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import prices, signals
 from tidemark.operators.resolve import Product, resolve_listings
+from tidemark.operators.serve import laid_over
 
 #: Finished crawls after which an offer that none of them saw is retired.
 RETIRE_AFTER = 3
@@ -61,7 +62,7 @@ def overlaid(products: DataFrame, derived: DataFrame, seeds: DataFrame) -> DataF
     """``products`` (product_id, spec) after their specs are derived and the seeds' own values laid on top, with whether each changed."""
     none = F.create_map().cast("map<string,string>")
     rows = products.join(derived.withColumnRenamed("spec", "__d"), "product_id").join(seeds.select("product_id", F.col("spec").alias("__s")), "product_id", "left")
-    spec = F.map_concat(F.coalesce("__d", none), F.coalesce("__s", none))
+    spec = laid_over(F.coalesce("__s", none), F.coalesce("__d", none))
     flat = lambda m: F.array_sort(F.map_entries(F.coalesce(m, none)))
     return rows.select("product_id", spec.alias("spec"), (flat(spec) != flat(F.col("spec"))).alias("changed"))
 

@@ -23,6 +23,11 @@ def contains_spec(spec: Column, wanted: dict[str, str]) -> Column:
     return reduce(lambda a, b: a & b, [spec[k].eqNullSafe(F.lit(v)) for k, v in wanted.items()], F.lit(True))
 
 
+def laid_over(top: Column, under: Column) -> Column:
+    """The map ``under`` with the entries of the map ``top`` in place of its own, whatever the session does with repeated keys."""
+    return F.map_concat(F.map_filter(under, lambda k, _: ~F.map_contains_key(top, k)), top)
+
+
 def search(
     products: DataFrame, offers: DataFrame, rollups: DataFrame, offer_rollups: DataFrame, signals: DataFrame | None, consensus: DataFrame, *, sort: str = "deal", low: int = 0, high: int | None = None, in_stock_only: bool = True, spec: dict[str, str] | None = None, signal: str | None = None, limit: int = 50, offset: int = 0
 ) -> DataFrame:
@@ -38,7 +43,7 @@ def search(
     if in_stock_only:
         listed = listed.where("in_stock")
     if spec:
-        listed = listed.join(products.select("product_id", "spec"), "product_id").where(contains_spec(F.map_concat("spec", "offer_spec"), spec))
+        listed = listed.join(products.select("product_id", "spec"), "product_id").where(contains_spec(laid_over(F.col("offer_spec"), F.col("spec")), spec))
     best = F.struct((~F.col("in_stock")).alias("away"), "price_cents", "offer_id")
     top = listed.groupBy("product_id").agg(F.min(best).alias("b")).select("product_id", F.col("b.offer_id").alias("offer_id"), F.col("b.price_cents").alias("price_cents"), (~F.col("b.away")).alias("in_stock"))
     rows = products.drop("spec").join(rollups, "product_id")
