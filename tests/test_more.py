@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import backfill, community, sinks
-from tidemark.sources.specs import keyboard_spec
+from tidemark.functions.text import normalize_ascii
+from tidemark.sources.specs import keyboard_spec, spec_of
 
 
 def test_synthetic_year():
@@ -26,6 +27,28 @@ def test_keyboard_spec(spark):
     assert got[1] == {"layout_size": "tkl", "connectivity": "tri-mode"} and got[2] == {}
 
 
+def test_monitor_spec(spark):
+    titles = [
+        ('27" UltraWide QHD 144Hz Curved Monitor', ["Gaming", "USB-C", None]),
+        ("Dual 4K Mini-LED flat, 1800R", ["Screen Size: 57", "refresh rate 240hz", "HDR 1000"]),
+        ("9000 hz speaker", ["12", "8"]),
+        (None, None),
+    ]
+    rows = spark.createDataFrame(titles, "t string, tags array<string>")
+    got = [r[0] for r in rows.select(spec_of("monitors", F.col("t"), F.col("tags"), normalize_ascii)).collect()]
+    assert got[0] == {"resolution": "ultrawide-1440p", "aspect_ratio": "21:9", "refresh_hz": "144", "size_in": "27.0", "curved": "true", "usb_c": "true"}
+    assert got[1] == {"panel_type": "mini-led", "resolution": "dual-4k", "aspect_ratio": "32:9", "refresh_hz": "240", "size_in": "57.0", "hdr": "hdr1000"}
+    assert got[2] == {"size_in": "12.0", "speakers": "true"} and got[3] == {}
+
+
+@pytest.mark.parametrize(("category", "most"), [("keyboards", 2), ("monitors", 2)])
+def test_a_spec_normalises_its_texts_once(spark, category, most):
+    """The title and the tags, once each for a row: not again for every phrase that is looked for."""
+    rows = spark.createDataFrame([("x", ["y"])], "t string, tags array<string>")
+    df = rows.withColumn("spec", spec_of(category, F.col("t"), F.col("tags"), normalize_ascii)).select(*(F.col("spec")[k] for k in ("a", "b", "c")))
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace(") <= most
+
+
 def _mentions(spark, *rows):
     return spark.createDataFrame([(i, 1, c, w, s, "auto", datetime(2030, 1, d)) for i, c, w, s, d in rows], "mention_id long, product_id long, community string, weight double, sentiment string, status string, posted_at timestamp")
 

@@ -286,7 +286,9 @@ def monitor_spec(s, d):
     size = F.col("p_size").cast("string")
     title = F.concat(F.lpad(size, 2, "0"), F.lit('" '), sharp, F.lit(" "), size, F.lit("Hz"), F.when(F.col("p_size") > 25, " Curved").otherwise(""), F.lit(" Monitor"))
     spec = specs.spec_of("monitors", title, F.array(F.lit("Gaming")), T.normalize_ascii)
-    return model.read(s, d, "part").withColumn("spec", spec).select("p_partkey", *(F.col("spec")[k].alias(k) for k in ("resolution", "aspect_ratio", "refresh_hz", "size_in", "curved")))
+    # the titles' work is far more than the few bytes of a part, so the size of its files must not set the number of tasks
+    part = model.read(s, d, "part").select("p_partkey", "p_type", "p_size").repartition("p_partkey")
+    return part.withColumn("spec", spec).select("p_partkey", *(F.col("spec")[k].alias(k) for k in ("resolution", "aspect_ratio", "refresh_hz", "size_in", "curved")))
 
 
 _FIELDS = {"kind": config.Field("string", ("ECONOMY", "SMALL")), "count": config.Field("integer"), "weight": config.Field("number"), "wired": config.Field("boolean")}

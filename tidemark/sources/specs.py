@@ -1,12 +1,16 @@
-"""Specifications from listing titles and tags, as a map Column; the longest phrase of a vocabulary wins."""
+"""Specifications from listing titles and tags, as a map Column; the longest phrase of a vocabulary wins.
+
+Phrases are looked for in a normalised text between two spaces, worked out once for each row (``_once``): a Column that is named
+again is evaluated again, and conditions and lambdas are out of reach of Spark's elimination of common expressions.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tidemark.functions.text import contains_name
-
 #: Phrases of each field and what they mean.
 LAYOUTS = {"full size": "full", "fullsize": "full", "100": "full", "1800": "1800", "96": "1800", "tkl": "tkl", "tenkeyless": "tkl", "80": "tkl", "87": "tkl", "75": "75", "65": "65", "60": "60", "40": "40", "alice": "alice", "split": "split"}
 SWITCHES = {"silent linear": "silent-linear", "silent tactile": "silent-tactile", "linear": "linear", "tactile": "tactile", "clicky": "clicky", "magnetic": "magnetic", "hall effect": "magnetic", "he": "magnetic", "tmr": "magnetic", "topre": "topre", "optical": "optical"}
@@ -14,21 +18,34 @@ CASES = {"aluminum": "aluminum", "aluminium": "aluminum", "all metal": "aluminum
 MOUNTS = {"gasket": "gasket", "tray mount": "tray", "top mount": "top", "plate mount": "plate"}
 
 
+def _once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is evaluated once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def _between_spaces(text: Column) -> Column:
+    return F.concat(F.lit(" "), text, F.lit(" "))
+
+
 def phrase_value(text: Column, vocabulary: dict[str, str]) -> Column:
-    """The meaning of the longest phrase that stands in normalised ``text``; null if none does."""
+    """The meaning of the longest phrase that stands in normalised ``text`` between spaces; null if none does."""
     ranked = sorted(vocabulary.items(), key=lambda x: -len(x[0]))
-    return F.coalesce(*(F.when(contains_name(text, F.lit(k)), F.lit(v)) for k, v in ranked))
+    return F.coalesce(*(F.when(text.contains(f" {k} "), F.lit(v)) for k, v in ranked))
 
 
 def _any(text: Column, *phrases: str) -> Column:
     found = F.lit(False)
     for p in phrases:
-        found = found | contains_name(text, F.lit(p))
+        found = found | text.contains(f" {p} ")
     return found
 
 
 def keyboard_spec(text: Column) -> Column:
     """Fields of a keyboard from its normalised title and tags, as text values; absent fields are absent."""
+    return _once(_between_spaces(text), _keyboard_fields)
+
+
+def _keyboard_fields(text: Column) -> Column:
     radio, tooth, wired = _any(text, "2 4ghz", "2 4 ghz", "24ghz"), _any(text, "bluetooth"), _any(text, "wired")
     link = (
         F.when(_any(text, "tri mode", "trimode", "3 mode") | (tooth & radio & wired), "tri-mode")
@@ -48,6 +65,10 @@ def keyboard_spec(text: Column) -> Column:
         "keycap_material": F.when(_any(text, "pbt"), "pbt").when(_any(text, "abs"), "abs"),
         "key_count": F.when(keys != "", keys),
     }
+    return _present(fields)
+
+
+def _present(fields: dict[str, Column]) -> Column:
     whole = F.create_map(*(x for k, v in fields.items() for x in (F.lit(k), v)))
     return F.map_filter(whole, lambda _, v: v.isNotNull())
 
@@ -76,7 +97,7 @@ RATE_IN_TITLE, RATE_TAG, RADIUS = r"(?<![\d.])(\d{2,3}) ?hz\b", r"^(?:refresh ra
 
 
 def resolution(text: Column) -> Column:
-    """The native resolution that a normalised text names. Names of double and wide panels come before those of their halves."""
+    """The native resolution that a normalised text between spaces names. Names of double and wide panels come before those of their halves."""
     named = {k: _any(text, *v) for k, v in RESOLUTIONS.items()}
     wide = _any(text, *WIDE, "21 9", "uwqhd", "uw qhd")
     quad, full = named["1440p"], named["1080p"]
@@ -97,7 +118,7 @@ def resolution(text: Column) -> Column:
 
 
 def _between(value: Column, low: float, high: float) -> Column:
-    return F.when(value.between(low, high), value)
+    return _once(value, lambda x: F.when(x.between(low, high), x))
 
 
 def monitor_spec(title: Column, tags: Column, normal) -> Column:
@@ -105,31 +126,40 @@ def monitor_spec(title: Column, tags: Column, normal) -> Column:
 
     ``normal`` makes the normal form of a text column. Sizes are read from the title as it stands, where the inch sign is left.
     """
-    plain, tags = normal(F.coalesce(title, F.lit(""))), F.coalesce(tags, F.array().cast("array<string>"))
-    tag_norms = F.transform(tags, lambda t: normal(F.coalesce(t, F.lit(""))))
-    text = F.concat_ws(" ", plain, F.array_join(tag_norms, " "))
-    sharp = resolution(text)
+    given = F.struct(F.coalesce(title, F.lit("")).alias("title"), F.coalesce(tags, F.array().cast("array<string>")).alias("tags"))
+
+    def normalised(raw: Column) -> Column:
+        norms = F.struct(normal(raw["title"]).alias("title"), F.transform(raw["tags"], lambda t: normal(F.coalesce(t, F.lit("")))).alias("tags"))
+        return _once(norms, lambda norm: joined(raw, norm))
+
+    def joined(raw: Column, norm: Column) -> Column:
+        text = _between_spaces(F.concat_ws(" ", norm["title"], F.array_join(norm["tags"], " ")))
+        return _once(text, lambda x: _once(resolution(x), lambda sharp: _monitor_fields(raw, norm, x, sharp)))
+
+    return _once(given, normalised)
+
+
+def _monitor_fields(raw: Column, norm: Column, text: Column, sharp: Column) -> Column:
     stated = phrase_value(text, ASPECTS)
     shape = F.coalesce(stated, F.when(sharp.startswith("ultrawide-"), "21:9").when(sharp.startswith("dual-"), "32:9").when(_any(text, *WIDE), "21:9"))
-    number = lambda c, kind: F.transform(c, lambda x: x.try_cast(kind))
-    in_title = F.array_max(number(F.regexp_extract_all(plain, F.lit(RATE_IN_TITLE), 1), "long"))
-    in_tags = F.array_max(number(F.transform(tag_norms, lambda t: F.regexp_extract(t, RATE_TAG, 1)), "long"))
-    sizes = F.concat(F.regexp_extract_all(F.coalesce(title, F.lit("")), F.lit(SIZE_IN_TITLE), 1), F.transform(tags, lambda t: F.regexp_extract(F.lower(F.trim(t)), SIZE_TAG, 1)))
+    # what did not match is empty, and a cast that fails costs more than all phrases
+    number = lambda c, kind: F.transform(c, lambda x: F.nullif(x, F.lit("")).try_cast(kind))
+    in_title = F.array_max(number(F.regexp_extract_all(norm["title"], F.lit(RATE_IN_TITLE), 1), "long"))
+    in_tags = F.array_max(number(F.transform(norm["tags"], lambda t: F.regexp_extract(t, RATE_TAG, 1)), "long"))
+    sizes = F.concat(F.regexp_extract_all(raw["title"], F.lit(SIZE_IN_TITLE), 1), F.transform(raw["tags"], lambda t: F.regexp_extract(F.lower(F.trim(t)), SIZE_TAG, 1)))
     fits = F.filter(number(sizes, "double"), lambda x: x.between(10, 100))
-    bent, flat = _any(text, "curved") | text.rlike(RADIUS), _any(text, "flat")
-    fields = {
+    curve = F.struct((_any(text, "curved") | text.rlike(RADIUS)).alias("bent"), _any(text, "flat").alias("flat"))
+    return _present({
         "panel_type": phrase_value(text, PANELS),
         "resolution": sharp,
         "aspect_ratio": shape,
         "refresh_hz": _between(F.coalesce(in_title, in_tags), 30, 1000).cast("string"),
         "size_in": F.get(fits, 0).cast("string"),
-        "curved": F.when(bent & ~flat, "true").when(flat & ~bent, "false"),
+        "curved": _once(curve, lambda c: F.when(c["bent"] & ~c["flat"], "true").when(c["flat"] & ~c["bent"], "false")),
         "hdr": phrase_value(text, HDR),
         "usb_c": F.when(_any(text, "usb c", "type c", "thunderbolt"), "true"),
         "speakers": F.when(_any(text, "speaker", "speakers"), "true"),
-    }
-    whole = F.create_map(*(x for k, v in fields.items() for x in (F.lit(k), v)))
-    return F.map_filter(whole, lambda _, v: v.isNotNull())
+    })
 
 
 def spec_of(category: str, title: Column, tags: Column, normal) -> Column:
