@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import math
 from datetime import datetime, timedelta
 
 import pytest
@@ -95,6 +96,16 @@ def test_backtest(spark):
     assert tallies["below_median"].hit_rate == 1.0 and (tallies["below_median"].buys, tallies["below_median"].waits) == (2, 5)
 
 
+def test_policy_over_days_that_cost_nothing(spark):
+    """A price of zero is no error: the ratio is what doubles give, and the counts have the day."""
+    rows = [("a", 5, 10), ("a", 20, 10), ("a", None, 10), ("b", 0, 0), ("b", 5, 10), ("c", 5, 0), ("c", 5, 10), ("d", None, 0), ("d", 5, 10)]
+    followed = spark.createDataFrame(rows, "strategy string, paid_cents int, price_cents int")
+    got = {r.strategy: r for r in backtest.policy(followed, ["strategy"]).collect()}
+    assert got["a"].mean_ratio == 1.25 and math.isnan(got["b"].mean_ratio) and got["c"].mean_ratio == math.inf and got["d"].mean_ratio == 0.5
+    assert [got["b"][k] for k in ("paid_less", "paid_same", "paid_more", "unresolved")] == [1, 1, 0, 0]
+    assert [got["c"][k] for k in ("paid_less", "paid_same", "paid_more", "unresolved")] == [1, 0, 1, 0]
+
+
 def test_month_pruning(spark, tmp_path):
     from tidemark.operators import sinks
 

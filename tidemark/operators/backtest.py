@@ -86,11 +86,20 @@ def follow(calls: DataFrame, horizon: int, grace: int = 14) -> DataFrame:
     return calls.withColumn("paid_cents", F.coalesce(soon, late))
 
 
+def _quotient(a: Column, b: Column) -> Column:
+    """a / b as doubles; over zero it is infinite, and zero over zero is no number, where Spark's own division is an error."""
+    over_zero = F.when(a > 0, float("inf")).when(a < 0, float("-inf")).when(a.isNotNull(), float("nan"))
+    return F.when(b == 0, over_zero).otherwise(F.try_divide(a.cast("double"), b.cast("double")))
+
+
 def policy(followed: DataFrame, by: list[str]) -> DataFrame:
-    """Mean of paid over today's price, and how often it was less, the same or more; unresolved days paid nothing."""
+    """Mean of paid over today's price, and how often it was less, the same or more; unresolved days paid nothing.
+
+    A day whose price is zero has no finite ratio, so neither has the mean of its group; the counts have it as any other day.
+    """
     paid, now = F.col("paid_cents"), F.col("price_cents")
     return followed.groupBy(*by).agg(
-        F.avg(paid / now).alias("mean_ratio"), F.count_if(paid < now).alias("paid_less"), F.count_if(paid == now).alias("paid_same"), F.count_if(paid > now).alias("paid_more"), F.count_if(paid.isNull()).alias("unresolved")
+        F.avg(_quotient(paid, now)).alias("mean_ratio"), F.count_if(paid < now).alias("paid_less"), F.count_if(paid == now).alias("paid_same"), F.count_if(paid > now).alias("paid_more"), F.count_if(paid.isNull()).alias("unresolved")
     )
 
 
