@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -399,6 +400,23 @@ def test_word_tokenizer_equals_the_tokenizer():
         assert got.tolist() == want.ids
 
 
+def test_word_tokenizer_remembers_letters_that_come_once_without_what_surrounds_them(monkeypatch):
+    """New words take one entry each, however they are written; what comes again is remembered as it is, over generations."""
+    rare = ["".join(x) for x in itertools.product("qxz", "aeo", "bdg", "iu", "klm")]
+    text = " ".join(w.capitalize() + ",.!"[i % 3] for i, w in enumerate(rare))
+    tok = packing.WordTokenizer(packing.default_tokenizer())
+    want = tok.tokenizer.encode(text, add_special_tokens=False).ids
+    assert tok([text])[0].tolist() == want and set(tok.known) == set(rare)
+    assert tok([text])[0].tolist() == want and len(tok.known) == 2 * len(rare)
+    monkeypatch.setattr(packing, "REMEMBERED", 40)
+    small = packing.WordTokenizer(packing.default_tokenizer())
+    parts = [" ".join(text.split()[i : i + 20]) for i in range(0, len(rare), 20)] * 3
+    whole = [x.ids for x in small.tokenizer.encode_batch(parts, add_special_tokens=False)]
+    for part, ids in zip(parts, whole):
+        assert small([part])[0].tolist() == ids and len(small.known) <= 40 + 2 * 20
+    assert small.older
+
+
 @pytest.mark.parametrize(
     ("page", "text"),
     [

@@ -14,7 +14,7 @@ import os
 import re
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -42,6 +42,16 @@ REMEMBERED = 200_000
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)\Z")
 
 
+class _Known(dict):
+    """Ids of words; ``learn`` works out what is not there, and stores it as it sees fit."""
+
+    def __init__(self, learn: Callable[[str], bytes]):
+        self.learn = learn
+
+    def __missing__(self, word: str) -> bytes:
+        return self.learn(word)
+
+
 class WordTokenizer:
     """Ids of texts by a public tokenizer file whose words, as white space parts them, do not affect each other.
 
@@ -63,45 +73,51 @@ class WordTokenizer:
         hidden = [b for b in range(256) if b not in shown]
         # bytes as the byte-level splitter writes them
         self.bytes = str.maketrans({chr(b): chr(256 + i) for i, b in enumerate(hidden)})
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.known, self.older = _Known(self._word), {}
+        self.ends: dict[str, bytes] = {}
 
     def _piece(self, piece: str) -> bytes:
-        ids = self.known.get(piece) or self.older.get(piece)
+        shown = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.bytes)
+        return array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
+
+    def _end(self, signs: str) -> bytes:
+        ids = self.ends.get(signs)
         if ids is None:
-            shown = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.bytes)
-            ids = array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
-        self.known[piece] = ids
+            if len(self.ends) > REMEMBERED // 10:
+                self.ends.clear()
+            ids = self.ends[signs] = self._piece(signs)
         return ids
 
-    def _learn(self, words: set[str]) -> None:
+    def _word(self, word: str) -> bytes:
+        known = self.known
+        ids = self.older.get(word)
+        if ids is not None:
+            known[word] = ids
+            return ids
+        if word.isascii() and word.isalpha():
+            low, end = word.lower(), b""
+        elif m := _PLAIN.match(word):
+            low, end = m[1].lower(), m[2] and self._end(m[2]) or b""
+        else:
+            ids = known[word] = array("I", self.tokenizer.encode_batch_fast([word], add_special_tokens=False)[0].ids).tobytes()
+            return ids
+        ids = known.get(low)
+        if ids is not None:
+            ids = known[word] = ids + end
+            return ids
+        # new letters are stored alone: most never come again, and what else is written with them is put together from them
+        ids = known[low] = self.older.get(low) or self._piece(low)
+        return ids + end
+
+    def _text(self, text: str) -> bytes:
+        if any(x in text for x in self.UNLIKE):
+            return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
         if len(self.known) > REMEMBERED:
-            self.older, self.known = self.known, {}
-        new = words - self.known.keys()
-        for w in new & self.older.keys():
-            self.known[w] = self.older[w]
-        odd = []
-        for w in new - self.older.keys():
-            if m := _PLAIN.match(w):
-                self.known[w] = self._piece(m[1].lower()) + (self._piece(m[2]) if m[2] else b"")
-            else:
-                odd.append(w)
-        for i in range(0, len(odd), 2_000):
-            for w, code in zip(odd[i : i + 2_000], self.tokenizer.encode_batch_fast(odd[i : i + 2_000], add_special_tokens=False)):
-                self.known[w] = array("I", code.ids).tobytes()
+            self.older, self.known = self.known, _Known(self._word)
+        return b"".join(map(self.known.__getitem__, text.split()))
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        split = [None if any(x in t for x in self.UNLIKE) else t.split() for t in texts]
-        self._learn({w for words in split if words for w in words})
-        known = self.known
-        out = []
-        for text, words in zip(texts, split):
-            if words is None:
-                ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
-            else:
-                ids = np.frombuffer(b"".join([known[w] for w in words]), "<u4")
-            out.append(ids)
-        return out
+        return [np.frombuffer(self._text(t), "<u4") for t in texts]
 
 
 @functools.lru_cache(maxsize=1)
